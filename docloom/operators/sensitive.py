@@ -12,18 +12,17 @@ from docloom.functions.spans import HIGH, PATTERNS, all_found, found, masked_tex
 
 def find_sensitive_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, kind, ord, value_hash, value_masked``; one scan, and no raw value leaves it."""
+
+    def numbered(kind: str) -> Column:
+        return F.transform(
+            found("text", kind),
+            lambda value, i: F.struct(
+                F.lit(kind).alias("kind"), i.cast("long").alias("ord"), value.alias("value")
+            ),
+        )
+
     # One array of (kind, ord, value) per document, so the text is read once for all kinds.
-    spans = F.concat(
-        *[
-            F.transform(
-                found("text", kind),
-                lambda value, i, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), i.cast("long").alias("ord"), value.alias("value")
-                ),
-            )
-            for kind in PATTERNS
-        ]
-    )
+    spans = F.concat(*[numbered(kind) for kind in PATTERNS])
     return docs.select("doc_id", F.inline(spans)).select(
         "doc_id",
         "kind",

@@ -82,7 +82,8 @@ def with_preceding(
     sources = (
         df.select(key, block_of(order, block).alias("_block"))
         .distinct()
-        .withColumn("_from", F.explode(F.collect_list("_block").over(earlier)))
+        .withColumn("_froms", F.collect_list("_block").over(earlier))
+        .select(key, "_block", F.explode("_froms").alias("_from"))
     )
     carried = (
         sources.join(tails, [key, "_from"])
