@@ -33,7 +33,8 @@ def normalised(text: Column | str) -> Column:
 def symbol_ratio(text: Column | str) -> Column:
     """Share of characters that are neither letter, digit nor white space; NULL if empty."""
     whole = F.length(body(text))
-    kept = F.length(F.regexp_replace(body(text), SYMBOL, ""))
+    # Runs of symbols go at once: the same characters, fewer matches.
+    kept = F.length(F.regexp_replace(body(text), SYMBOL + "+", ""))
     return F.round(F.try_divide((whole - kept).cast("double"), whole.cast("double")), 6)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import normalised
 from docloom.plans.shapes import keyed_join
+from docloom.sources.tables import written
 
 # The statuses whose actions may run.
 RUNNABLE = ("auto", "approved")
@@ -49,10 +50,14 @@ def propose_dedup(docs: DataFrame) -> DataFrame:
     """``delete`` every copy of a normalised text but the lowest ``doc_id``.
 
     The group minimum is combined before the shuffle, and the largest groups of copies get it by
-    broadcast, so a text copied over a third of the documents is spread like any other.
+    broadcast, so a text copied over a third of the documents is spread like any other. Writes
+    the hashes as a scratch table, so that the texts are read once.
     """
-    hashed = docs.where(normalised("text") != "  ").select(
-        "doc_id", F.sha2(normalised("text"), 256).alias("_hash")
+    hashed = written(
+        docs.select("doc_id", normalised("text").alias("_text"))
+        .where(F.col("_text") != "  ")
+        .select("doc_id", F.sha2("_text", 256).alias("_hash")),
+        "text-hashes",
     )
     groups = hashed.groupBy("_hash").agg(
         F.min("doc_id").alias("_kept"), F.count("*").alias("_copies")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.spans import found
-from docloom.functions.text import body, symbol_ratio
+from docloom.functions.text import body, symbol_ratio, tokens
 from docloom.plans.shapes import keyed_join
 
 # Licence phrases, toxic words and the junk limit.
@@ -19,10 +19,7 @@ JUNK_SYMBOLS = 0.06
 
 def has_word(words: Sequence[str], text: str = "text") -> Column:
     """True where one of the words is a token of the text."""
-    listed = "|".join(words)
-    return F.rlike(
-        F.lower(body(text)), F.lit(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{listed})(?:[^\p{{L}}\p{{N}}]|$)")
-    )
+    return F.arrays_overlap(tokens(text), F.array(*[F.lit(word) for word in words]))
 
 
 def default_rules(text: str = "text") -> list[tuple[str, Column]]:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import body, tokens
-from docloom.operators.index import term_stats
+from docloom.operators.index import corpus_totals, term_stats
 from docloom.plans.shapes import BLOCK, block_of, keyed_join, top_k, with_preceding
+from docloom.sources.tables import written
 
 
 def _spoken() -> F.Column:
@@ -81,13 +82,10 @@ def context_query_terms(
     Own terms weigh 1, those of the j-th previous user turn 0.5^j. Kept are the ``max_terms``
     best by ``round(weight * idf, 6)``, then by term, among terms of the corpus found in at most
     ``max_df_ratio`` of its documents. ``stats`` and ``n_docs`` (see ``corpus_totals``) may be
-    given where they exist already.
+    given where they exist already. Writes the weighed terms as a scratch table.
     """
     stats = term_stats(postings) if stats is None else stats
-    if n_docs is None:
-        from docloom.operators.index import corpus_totals
-
-        n_docs = corpus_totals(postings=postings)
+    n_docs = corpus_totals(postings=postings) if n_docs is None else n_docs
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.array_distinct(tokens("text")).alias("_own")
     )
@@ -101,10 +99,12 @@ def context_query_terms(
             ),
         )
     )
-    weighed = (
+    # Counted by term and then joined by term: written, so that the turns are windowed once.
+    weighed = written(
         heard.select("conv_id", "turn", F.explode(F.concat(said, said_before)).alias("_t"))
         .groupBy("conv_id", "turn", F.col("_t.term").alias("term"))
-        .agg(F.sum("_t.w").alias("weight"))
+        .agg(F.sum("_t.w").alias("weight")),
+        "turn-terms",
     )
     # Every term of the conversations, with how often it is used there and its corpus numbers.
     used = (

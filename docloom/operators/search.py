@@ -17,6 +17,7 @@ from docloom.operators.conversations import context_query_terms
 from docloom.operators.index import corpus_totals, term_stats
 from docloom.plans.shapes import few_rows, grid_join, keyed_join, top_k
 from docloom.plans.vectors import nearest_in_blocks, nearest_in_partitions
+from docloom.sources.tables import written
 
 # Query sets up to this many rows, and this many bytes of text, go to every task.
 FEW = 10_000
@@ -85,9 +86,11 @@ def bm25_search(
     totals = corpus_totals(postings=postings) if totals is None else totals
     rows = few_rows(asked, few)
     if rows is None:
-        counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-        rated = keyed_join(asked, _asked_terms(asked, counts), "term", "_rows").where("df is not null")
-        hits = _with_length(grid_join(postings, rated, "term"), postings)
+        counts = postings.groupBy("term").agg(F.count("*").alias("_nl")).join(
+            asked.groupBy("term").agg(F.count("*").alias("_nr")), "term", "full_outer"
+        )
+        counts = counts.withColumn("df", F.col("_nl"))
+        hits = _with_length(grid_join(postings, asked, "term", counts=counts, carry=["df"]), postings)
     else:
         found = _with_length(
             postings.where(F.col("term").isin(sorted({row["term"] for row in rows}))), postings
@@ -99,10 +102,6 @@ def bm25_search(
     return _ranked(hits, totals, k, k1, b, qid)
 
 
-def _asked_terms(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    return asked.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
-
-
 def _ranked(hits: DataFrame, totals: DataFrame, k: int, k1: float, b: float, qid: str) -> DataFrame:
     n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
     avg_len = totals.select(F.try_divide(F.col("n_tokens").cast("double"), F.col("n_docs").cast("double"))).scalar()
@@ -231,21 +230,23 @@ def contextual_search(
 ) -> DataFrame:
     """``conv_id, turn, doc_id, score, rank``: BM25 hits for the context of each user turn.
 
-    Turns with equal terms and weights are one query, searched once.
+    Turns with equal terms and weights are one query, searched once. Writes the turns' terms as
+    scratch tables; ``postings`` should be a written table with lengths.
     """
     totals = corpus_totals(postings=postings) if totals is None else totals
     terms = context_query_terms(
         turns, postings, back, max_terms, max_df_ratio, term_stats(postings, totals), totals
     )
-    asked = (
+    asked = written(
         terms.groupBy("conv_id", "turn")
         .agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("_terms"))
-        .withColumn("qid", F.sha2(F.to_json("_terms"), 256))
+        .withColumn("qid", F.sha2(F.to_json("_terms"), 256)),
+        "turn-queries",
     )
     distinct = asked.groupBy("qid").agg(
         F.count("*").alias("_rows"), F.any_value("_terms").alias("_terms")
     )
-    queries = distinct.select("qid", F.inline("_terms"))
+    queries = written(distinct.select("qid", F.inline("_terms")), "distinct-queries")
     hits = bm25_search(postings, queries, k, totals=totals, few=few)
     per_query = hits.groupBy("qid").agg(
         F.collect_list(F.struct("doc_id", "score", "rank")).alias("_hits")

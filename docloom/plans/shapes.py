@@ -99,34 +99,48 @@ def with_preceding(
     )
 
 
-def grid_join(left: DataFrame, right: DataFrame, key: str, cell: int = 10_000) -> DataFrame:
+def grid_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    cell: int = 10_000,
+    counts: DataFrame | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """Inner join of two sides that may both hold a key many times.
 
     A key's left rows are cut in slices of about ``cell``, its right rows too, and each pair of
     slices meets in a group of its own. So no group holds more than a cell by a cell of a key,
     and keys that only one side has are never shuffled to the join.
+
+    ``counts`` (key, left rows ``_nl``, right rows ``_nr``, NULL for none) may be given, with
+    columns to ``carry`` into the result. Both sides are read more than once.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_nl")).join(
-        right.groupBy(key).agg(F.count("*").alias("_nr")), key, "full_outer"
-    )
-    sides = {}
-    for side, rows, mine, others in ((left, "_nl", "_i", "_j"), (right, "_nr", "_j", "_i")):
-        theirs = "_nr" if rows == "_nl" else "_nl"
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_nl")).join(
+            right.groupBy(key).agg(F.count("*").alias("_nr")), key, "full_outer"
+        )
+    sides = []
+    for side, mine, theirs, here, there, extra in (
+        (left, "_nl", "_nr", "_i", "_j", list(carry)),
+        (right, "_nr", "_nl", "_j", "_i", []),
+    ):
         # The number of slices on this side and on the other.
-        known = counts.where(F.col(rows).isNotNull()).select(
+        known = counts.where(F.col(mine).isNotNull()).select(
             key,
-            F.col(rows).alias("_rows"),
-            F.ceil(F.col(rows) / cell).alias("_here"),
+            F.col(mine).alias("_rows"),
+            F.ceil(F.col(mine) / cell).alias("_here"),
             F.ceil(F.col(theirs) / cell).alias("_there"),
+            *extra,
         )
-        sides[rows] = (
+        sides.append(
             keyed_join(side, known, key, "_rows")
             .where(F.col("_there").isNotNull())
-            .withColumn(mine, F.pmod(F.xxhash64(*side.columns), F.col("_here")))
-            .withColumn(others, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_there") - 1)))
+            .withColumn(here, F.pmod(F.xxhash64(*side.columns), F.col("_here")))
+            .withColumn(there, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_there") - 1)))
             .drop("_here", "_there")
         )
-    return sides["_nl"].join(sides["_nr"], [key, "_i", "_j"]).drop("_i", "_j")
+    return sides[0].join(sides[1], [key, "_i", "_j"]).drop("_i", "_j")
 
 
 def few_rows(df: DataFrame, limit: int) -> list | None:

@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    return read_table(spark, folder, "documents", spread=True)
 
 
 def _turns(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,11 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
     return index.build_postings(_docs(spark, folder), lengths=True)
 
 
+def _index(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings for a query that reads them several times: made once, as a scratch table."""
+    return written(_postings(spark, folder), "postings")
+
+
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
     return index.corpus_totals(docs=_docs(spark, folder))
 
@@ -98,7 +103,7 @@ def _centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _keywords(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    return index.keywords_topk(_postings(spark, folder), k, _totals(spark, folder))
+    return index.keywords_topk(_index(spark, folder), k, _totals(spark, folder))
 
 
 def _proposals(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,8 +126,16 @@ def _gated(spark: SparkSession, folder: str) -> DataFrame:
     return actions.gate_actions(proposals, answers)
 
 
-def _model(spark: SparkSession, folder: str, target: str) -> tuple[DataFrame, DataFrame]:
-    return classify.train_nb(_postings(spark, folder), _labels(spark, folder), target)
+def _model(postings: DataFrame, labels: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """Trained once: the terms are a scratch table, the classes one row."""
+    terms, classes = classify.train_nb(postings, labels, target)
+    return written(terms, "nb-terms"), classes
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    postings = _index(spark, folder)
+    model = _model(postings, _labels(spark, folder), "quality")
+    return classify.score_nb(model, postings, _docs(spark, folder))
 
 
 def _toxic_rule(docs: DataFrame) -> DataFrame:
@@ -139,8 +152,8 @@ def _gate_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The trained model against the word rule, on the labels kept out of the training."""
     docs, labels = _docs(spark, folder), _labels(spark, folder)
     unseen = labels.where(F.col("doc_id") % 5 == 0)
-    model = _model(spark, folder, "toxic")
-    scored = classify.score_nb(model, _postings(spark, folder), docs)
+    postings = _index(spark, folder)
+    scored = classify.score_nb(_model(postings, labels, "toxic"), postings, docs)
     trained = _f1(scored, unseen, "toxic", 1)
     rule = _f1(_toxic_rule(docs), unseen, "toxic", 1)
     return spark.range(1).select(
@@ -166,9 +179,9 @@ def _routed_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _contextual(spark: SparkSession, folder: str) -> DataFrame:
-    # Read several times, so made once.
-    postings = written(_postings(spark, folder), "postings")
-    return search.contextual_search(_turns(spark, folder), postings, totals=_totals(spark, folder))
+    return search.contextual_search(
+        _turns(spark, folder), _index(spark, folder), totals=_totals(spark, folder)
+    )
 
 
 def _query_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,10 +220,10 @@ def registered() -> dict[str, Query]:
             _docs(s, d), search.boolean_search(_postings(s, d), ALL_TERMS, ANY_TERMS, NONE_TERMS)
         ),
         "classify_rules": lambda s, d: classify.classify_rules(_docs(s, d)),
-        "train_nb": lambda s, d: classify.nb_rows(_model(s, d, "quality")),
-        "score_nb": lambda s, d: classify.score_nb(
-            _model(s, d, "quality"), _postings(s, d), _docs(s, d)
+        "train_nb": lambda s, d: classify.nb_rows(
+            _model(_postings(s, d), _labels(s, d), "quality")
         ),
+        "score_nb": _scored,
         "resolve_predictions": lambda s, d: classify.resolve_predictions(
             _remote(s, d), classify.classify_rules(_docs(s, d))
         ),

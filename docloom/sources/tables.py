@@ -11,8 +11,24 @@ from pyspark.sql import functions as F
 _local_scratch: list[str] = []
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# A table up to this size is dealt out again where its files give too few tasks.
+SMALL_BYTES = 256 << 20
+
+
+def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A parquet table.
+
+    ``spread`` deals a small table out to all cores, which a single row group would leave to one
+    task. A table above SMALL_BYTES, or of as many files as cores, is never moved.
+    """
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if not spread or len(table.inputFiles()) >= cores:
+        return table
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    size = sizes.agg(F.sum("length")).first()[0]
+    return table.repartition(cores) if size <= SMALL_BYTES else table
 
 
 def scratch_folder(spark: SparkSession) -> str:
