@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import normalised, tokens
@@ -20,9 +20,15 @@ from docloom.plans.vectors import nearest_in_blocks, nearest_in_partitions
 from docloom.sources.tables import written
 
 # Query sets up to this many rows, and this many bytes of text, go to every task.
-FEW = 10_000
+FEW = 50_000
+# Up to this many terms reach the scan as a filter, more are met by a broadcast semi-join.
+FILTER_TERMS = 200
 FEW_BYTES = 8 << 20
 FEW_VECTORS = 4096
+# A query's first terms are tried until they have this many documents for each wanted hit.
+SEEDS = 4
+# Scores nearer than this may round alike, so nothing is left out for less.
+SLACK = 2e-6
 
 
 def boolean_search(
@@ -76,40 +82,119 @@ def bm25_search(
     score = sum of weight * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b +
     b dl / avgdl)), rounded to 6; rank by score, then ``doc_id``. Postings built with lengths
     need no join for ``dl``.
+
+    The result is exact, but a query is not paired with every document that shares a word with it:
+    1. The k best documents by its most telling terms are scored in full. The k-th hit reaches at
+       least the lowest of these scores.
+    2. A document holding only terms that cannot sum up to that score is never looked at, which
+       spares the frequent terms; the others are scored on their telling terms.
+    3. Only those that can still reach the score are looked up in the frequent terms.
+    The postings of the asked terms and the candidates become scratch tables, and so do the
+    weighed terms of a large query set.
     """
+    spark = postings.sparkSession
     weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
     asked = (
         queries.select(qid, "term", weight.alias("weight"))
         .groupBy(qid, "term")
         .agg(F.sum("weight").alias("weight"))
     )
-    totals = corpus_totals(postings=postings) if totals is None else totals
     rows = few_rows(asked, few)
-    if rows is None:
-        counts = postings.groupBy("term").agg(F.count("*").alias("_nl")).join(
-            asked.groupBy("term").agg(F.count("*").alias("_nr")), "term", "full_outer"
-        )
-        counts = counts.withColumn("df", F.col("_nl"))
-        hits = _with_length(grid_join(postings, asked, "term", counts=counts, carry=["df"]), postings)
+    small = rows is not None
+    if small:
+        asked = spark.createDataFrame(rows, asked.schema)
+        listed = sorted({row["term"] for row in rows})
+        if len(listed) <= FILTER_TERMS:
+            kept = postings.where(F.col("term").isin(listed))
+        else:
+            known = spark.createDataFrame([(term,) for term in listed], "term string")
+            kept = postings.join(F.broadcast(known), "term", "left_semi")
     else:
-        found = _with_length(
-            postings.where(F.col("term").isin(sorted({row["term"] for row in rows}))), postings
+        wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
+        known = postings.groupBy("term").agg(F.count("*").alias("_rows")).join(wanted, "term", "left")
+        kept = keyed_join(postings, known, "term", "_rows").where("_asked").drop("_asked")
+
+    def settled(df: DataFrame, name: str) -> DataFrame:
+        # At most ``few`` rows where ``small``.
+        return spark.createDataFrame(df.collect(), df.schema) if small else written(df, name)
+
+    total = (corpus_totals(postings=postings) if totals is None else totals).first()
+    n_docs, average = float(total["n_docs"]), total["n_tokens"] / max(total["n_docs"], 1)
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
+    found = written(
+        _with_length(kept, postings).select("term", "doc_id", gain.alias("gain")), "query-postings"
+    )
+    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("_top_gain"))
+    if small:
+        rated = asked.join(counts, "term")
+    else:
+        used = asked.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
+        rated = keyed_join(asked, used, "term", "_rows").where("df is not null")
+    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    by_worth = Window.partitionBy(qid).orderBy(F.col("_worth").desc(), "term")
+    before, onwards = by_worth.rowsBetween(Window.unboundedPreceding, -1), by_worth.rowsBetween(0, Window.unboundedFollowing)
+    # _most: what a document can score by this term and the less telling ones.
+    weighed = settled(
+        rated.select(qid, "term", "df", (F.col("weight") * idf).alias("w"), "_top_gain")
+        .withColumn("_worth", F.col("w") * F.col("_top_gain"))
+        .select(
+            qid,
+            "term",
+            "w",
+            F.coalesce(F.sum("df").over(before), F.lit(0)).alias("_docs_before"),
+            F.sum("_worth").over(onwards).alias("_most"),
+        ),
+        "query-terms",
+    )
+
+    def meet(terms: DataFrame) -> DataFrame:
+        pairs = found.join(F.broadcast(terms), "term") if small else grid_join(found, terms, "term")
+        return pairs.groupBy(qid, "doc_id").agg(
+            F.sum(F.col("w") * F.col("gain")).alias("part"), F.max("_need").alias("_need")
         )
-        counts = found.groupBy("term").agg(F.count("*").alias("df"))
-        small = postings.sparkSession.createDataFrame(rows, asked.schema)
-        # At most ``few`` rows, by the check above.
-        hits = found.join(F.broadcast(small.join(counts, "term")), "term")
-    return _ranked(hits, totals, k, k1, b, qid)
-
-
-def _ranked(hits: DataFrame, totals: DataFrame, k: int, k1: float, b: float, qid: str) -> DataFrame:
-    n_docs = totals.select(F.col("n_docs").cast("double")).scalar()
-    avg_len = totals.select(F.try_divide(F.col("n_tokens").cast("double"), F.col("n_docs").cast("double"))).scalar()
-    tf, df = F.col("tf"), F.col("df")
-    idf = F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-    gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avg_len))
-    scored = hits.groupBy(qid, "doc_id").agg(
-        F.round(F.sum(F.col("weight") * idf * gain), 6).alias("score")
+
+    seeds = weighed.where(F.col("_docs_before") < SEEDS * k).select(qid, "term", "w", F.lit(0.0).alias("_need"))
+    first = top_k(meet(seeds), [qid], [F.col("part").desc(), F.col("doc_id")], k)
+    reach = (
+        first.select(qid, "doc_id")
+        .join(weighed.select(qid, "term", "w"), qid)
+        .join(found, ["term", "doc_id"])
+        .groupBy(qid, "doc_id")
+        .agg(F.sum(F.col("w") * F.col("gain")).alias("_score"))
+        .groupBy(qid)
+        .agg(F.min("_score").alias("_lowest"), F.count("*").alias("_n"))
+        .where(F.col("_n") == k)
+        .select(qid, (F.col("_lowest") - SLACK).alias("_reach"))
+    )
+    spared = F.max(F.when(F.col("_spare"), F.col("_most"))).over(Window.partitionBy(qid))
+    split = settled(
+        weighed.join(reach, qid, "left")
+        .withColumn("_spare", F.coalesce(F.col("_most") < F.col("_reach"), F.lit(False)))
+        .withColumn("_need", F.coalesce("_reach", F.lit(0.0)) - F.coalesce(spared, F.lit(0.0)))
+        .select(qid, "term", "w", "_spare", "_need"),
+        "query-split",
+    )
+    candidates = written(
+        meet(split.where("not _spare").select(qid, "term", "w", "_need"))
+        .where("part >= _need")
+        .select(qid, "doc_id", "part"),
+        "query-candidates",
+    )
+    others = split.where("_spare").groupBy(qid).agg(F.collect_list(F.struct("term", "w")).alias("_others"))
+    if small:
+        completed = candidates.join(F.broadcast(others), qid)
+    else:
+        sizes = candidates.groupBy(qid).agg(F.count("*").alias("_rows")).join(others, qid, "left")
+        completed = keyed_join(candidates, sizes, qid, "_rows").where("_others is not null")
+    looked_up = (
+        completed.select(qid, "doc_id", F.inline("_others"))
+        .join(found, ["term", "doc_id"])
+        .select(qid, "doc_id", (F.col("w") * F.col("gain")).alias("part"))
+    )
+    scored = (
+        candidates.unionByName(looked_up)
+        .groupBy(qid, "doc_id")
+        .agg(F.round(F.sum("part"), 6).alias("score"))
     )
     return top_k(scored, [qid], [F.col("score").desc(), F.col("doc_id")], k).select(
         qid, "doc_id", "score", "rank"
