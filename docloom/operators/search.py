@@ -226,7 +226,8 @@ def metadata_search(
 def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFrame:
     """``doc_id, item_id`` where the document holds the phrase, token by token.
 
-    Only documents holding a phrase's rarest token are compared with it.
+    Only documents holding a phrase's rarest token are compared with it. A large set of phrases
+    makes scratch tables on its way.
     """
     wanted = phrases.select(
         "item_id", normalised("text").alias("_phrase"), F.array_distinct(tokens("text")).alias("_tokens")
@@ -236,11 +237,10 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
     ).first()
     needed = wanted.select("item_id", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term"))
 
-    def rarest(counts: DataFrame) -> DataFrame:
+    def rarest(rated: DataFrame) -> DataFrame:
         # A phrase with a token no document has is dropped by the count of its tokens.
         return (
-            needed.join(counts, "term")
-            .groupBy("item_id", "_n")
+            rated.groupBy("item_id", "_n")
             .agg(F.min(F.struct("df", "term")).alias("_rare"), F.count("*").alias("_seen"))
             .where("_seen = _n")
             .select("item_id", F.col("_rare.term").alias("term"))
@@ -250,7 +250,7 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
         every = sorted({row["term"] for row in needed.select("term").distinct().collect()})
         held = F.filter(F.array_distinct(tokens("text")), lambda t: t.isin(every))
         counts = docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        rare = rarest(counts).join(wanted.select("item_id", "_phrase"), "item_id").collect()
+        rare = rarest(needed.join(counts, "term")).join(wanted.select("item_id", "_phrase"), "item_id").collect()
         terms = sorted({row["term"] for row in rare})
         tries = F.filter(F.array_distinct(tokens("text")), lambda t: t.isin(terms))
         candidates = docs.select("doc_id", normalised("text").alias("_text"), F.explode(tries).alias("term"))
@@ -265,21 +265,18 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
             .select("doc_id", "item_id")
         )
 
-    doc_terms = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    # Each step is read several times by the next, so each is written.
+    doc_terms = written(
+        docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")), "doc-terms"
+    )
     counts = doc_terms.groupBy("term").agg(F.count("*").alias("df"))
     used = needed.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
-    rated = keyed_join(needed, used, "term", "_rows").where("df is not null")
-    rare = (
-        rated.groupBy("item_id", "_n")
-        .agg(F.min(F.struct("df", "term")).alias("_rare"), F.count("*").alias("_seen"))
-        .where("_seen = _n")
-        .select("item_id", F.col("_rare.term").alias("term"))
-    )
-    pairs = grid_join(doc_terms, rare, "term").select("doc_id", "item_id")
+    rare = written(rarest(keyed_join(needed, used, "term", "_rows").where("df is not null")), "rarest-terms")
+    pairs = written(grid_join(doc_terms, rare, "term").select("doc_id", "item_id"), "phrase-pairs")
     # A document or phrase in very many pairs is copied to slices of them, never broadcast.
-    texted = grid_join(pairs, docs.select("doc_id", normalised("text").alias("_text")), "doc_id")
+    asked = written(grid_join(pairs, wanted.select("item_id", "_phrase"), "item_id"), "phrases-asked")
     return (
-        grid_join(texted, wanted.select("item_id", "_phrase"), "item_id")
+        grid_join(asked, docs.select("doc_id", normalised("text").alias("_text")), "doc_id")
         .where(F.contains("_text", "_phrase"))
         .select("doc_id", "item_id")
     )
