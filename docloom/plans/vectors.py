@@ -102,14 +102,14 @@ def nearest_in_blocks(embeddings: DataFrame, queries: DataFrame, k: int) -> Data
     vectors = (
         embeddings.select("vec_id", "embedding", F.size("embedding").alias("_n"))
         .where("_n > 0")
-        .withColumn("_row", F.pmod(F.xxhash64("vec_id"), F.lit(rows)))
-        .withColumn("_column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).cast("long"))
+        .withColumn("_row", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("long"))
+        .withColumn("_column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))))
     )
     asked = (
         queries.select("qid", "embedding", F.size("embedding").alias("_n"))
         .where("_n > 0")
         .withColumn("_column", F.pmod(F.xxhash64("qid"), F.lit(columns)).cast("long"))
-        .withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long"))
+        .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
