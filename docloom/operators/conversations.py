@@ -82,10 +82,10 @@ def context_query_terms(
     Own terms weigh 1, those of the j-th previous user turn 0.5^j. Kept are the ``max_terms``
     best by ``round(weight * idf, 6)``, then by term, among terms of the corpus found in at most
     ``max_df_ratio`` of its documents. ``stats`` and ``n_docs`` (see ``corpus_totals``) may be
-    given where they exist already. Writes the weighed terms as a scratch table.
+    given where they exist already. The latter is read at once. Writes the weighed terms as a scratch table.
     """
     stats = term_stats(postings) if stats is None else stats
-    n_docs = corpus_totals(postings=postings) if n_docs is None else n_docs
+    known_docs = (corpus_totals(postings=postings) if n_docs is None else n_docs).first()["n_docs"]
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.array_distinct(tokens("text")).alias("_own")
     )
@@ -112,9 +112,7 @@ def context_query_terms(
         .agg(F.count("*").alias("_rows"))
         .join(stats.select("term", "df", "idf"), "term", "left")
     )
-    kept = keyed_join(weighed, used, "term", "_rows").where(
-        F.col("df") <= F.lit(max_df_ratio) * n_docs.select("n_docs").scalar()
-    )
+    kept = keyed_join(weighed, used, "term", "_rows").where(F.col("df") <= max_df_ratio * known_docs)
     best = F.round(F.col("weight") * F.col("idf"), 6)
     return top_k(
         kept.withColumn("_best", best),

@@ -66,12 +66,12 @@ def keywords_topk(postings: DataFrame, k: int = 5, totals: DataFrame | None = No
     Frequent terms, most rows of any text, meet their df by broadcast; only rows of rarer terms
     are shuffled by term.
     """
-    n_docs = (corpus_totals(postings=postings) if totals is None else totals).select("n_docs")
+    n_docs = (corpus_totals(postings=postings) if totals is None else totals).first()["n_docs"]
     counts = postings.groupBy("term").agg(F.count("*").alias("_rows")).withColumn("df", F.col("_rows"))
     weighed = keyed_join(postings.select("term", "doc_id", "tf"), counts, "term", "_rows").select(
         "doc_id",
         "term",
-        F.round(F.col("tf") * F.log(n_docs.scalar() / F.col("df")), 6).alias("weight"),
+        F.round(F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")), 6).alias("weight"),
     )
     return top_k(weighed, ["doc_id"], [F.col("weight").desc(), F.col("term")], k)
 

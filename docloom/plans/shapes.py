@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.tables import written
+
 # At most this many keys are called heavy, so at most this many rows are ever broadcast.
 HEAVY_KEYS = 10_000
 # Order values that fall in one block of a long sequence.
@@ -33,20 +35,31 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+def keyed_join(
+    left: DataFrame, right: DataFrame, key: str, rows: str, settled: bool = False
+) -> DataFrame:
     """Inner join to a ``right`` that has one row per key and in ``rows`` how often left has it.
 
     Keys holding at least 1/HEAVY_KEYS of the left rows (there can be no more than HEAVY_KEYS of
     them, whatever the size of the data) are joined by broadcast and never shuffled. Every other
     key is too small to unbalance the shuffled join that takes the rest.
+
+    ``right`` becomes a scratch table, unless it is ``settled`` as one already, and is counted.
     """
-    total = right.agg(F.sum(rows)).scalar()
-    marked = right.withColumn("_heavy", F.col(rows) * HEAVY_KEYS >= total)
-    heavy = F.broadcast(marked.where("_heavy").drop("_heavy", rows))
-    light = marked.where("not _heavy").drop("_heavy", rows)
-    by_broadcast = left.join(heavy, key)
-    by_shuffle = left.join(heavy.select(key).hint("broadcast"), key, "left_anti").join(light, key)
-    return by_broadcast.unionByName(by_shuffle)
+    right = right if settled else written(right, "keys")
+    size = right.agg(
+        F.count("*").alias("keys"), F.sum(rows).alias("total"), F.max(rows).alias("largest")
+    ).first()
+    if size["keys"] <= HEAVY_KEYS:
+        return left.join(F.broadcast(right.drop(rows)), key)
+    limit = -(-size["total"] // HEAVY_KEYS)
+    if size["largest"] < limit:
+        return left.join(right.drop(rows), key)
+    heavy = right.where(F.col(rows) >= limit).drop(rows)
+    light = right.where(F.col(rows) < limit).drop(rows)
+    by_broadcast = left.join(F.broadcast(heavy), key)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return by_broadcast.unionByName(rest.join(light, key))
 
 
 def block_of(order: str, block: int = BLOCK) -> Column:
@@ -61,41 +74,49 @@ def with_preceding(
 
     (``key``, ``order``) is unique. A key may hold any share of the rows, so the window runs per
     (key, block of order values), and rows near a block's start also get the tail of the blocks
-    before. Only (key, block) pairs, without values, are ever windowed per key.
+    before. Only (key, block) pairs, without values, are ever windowed per key; the pairs become
+    a scratch table.
     """
 
     def last_k(values: Column) -> Column:
         return F.slice(values, F.greatest(F.size(values) - k + 1, F.lit(1)), F.lit(k))
 
+    cut = df.withColumn("_block", block_of(order, block))
     in_block = Window.partitionBy(key, "_block").orderBy(order)
-    rows = (
-        df.withColumn("_block", block_of(order, block))
-        .withColumn("_near", F.collect_list(value).over(in_block.rowsBetween(-k, -1)))
-        .withColumn("_last", F.lead(order).over(in_block).isNull())
-    )
-    tails = rows.where("_last").select(
-        key,
-        F.col("_block").alias("_from"),
-        last_k(F.concat("_near", F.array(value))).alias("_tail"),
-    )
+    near = cut.withColumn("_near", F.collect_list(value).over(in_block.rowsBetween(-k, -1)))
+
+    # Which blocks of a key come before which: no rows for keys of one block.
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(-k, -1)
-    sources = (
-        df.select(key, block_of(order, block).alias("_block"))
+    sources = written(
+        cut.select(key, "_block")
         .distinct()
         .withColumn("_froms", F.collect_list("_block").over(earlier))
-        .select(key, "_block", F.explode("_froms").alias("_from"))
+        .select(key, "_block", F.explode("_froms").alias("_from")),
+        "blocks",
+    )
+    if sources.isEmpty():
+        return near.withColumnRenamed("_near", out).drop("_block")
+
+    used = sources.select(key, F.col("_from").alias("_block")).distinct()
+    ends = top_k(
+        cut.select(key, "_block", order, value).join(used, [key, "_block"], "left_semi"),
+        [key, "_block"],
+        [F.col(order).desc()],
+        k,
+    )
+    tails = ends.groupBy(key, F.col("_block").alias("_from")).agg(
+        F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("_value")))).alias("_tail")
     )
     carried = (
         sources.join(tails, [key, "_from"])
         .groupBy(key, "_block")
         .agg(F.array_sort(F.collect_list(F.struct("_from", "_tail"))).alias("_tails"))
-        .select(key, "_block", F.flatten(F.col("_tails._tail")).alias("_far"))
+        .select(key, "_block", F.flatten(F.col("_tails._tail"))["_value"].alias("_far"))
     )
-    near = F.col("_near")
     return (
-        rows.join(carried, [key, "_block"], "left")
-        .withColumn(out, last_k(F.concat(F.coalesce("_far", F.slice("_near", 1, 0)), near)))
-        .drop("_block", "_near", "_last", "_far")
+        near.join(carried, [key, "_block"], "left")
+        .withColumn(out, last_k(F.concat(F.coalesce("_far", F.slice("_near", 1, 0)), F.col("_near"))))
+        .drop("_block", "_near", "_far")
     )
 
 
@@ -114,12 +135,14 @@ def grid_join(
     and keys that only one side has are never shuffled to the join.
 
     ``counts`` (key, left rows ``_nl``, right rows ``_nr``, NULL for none) may be given, with
-    columns to ``carry`` into the result. Both sides are read more than once.
+    columns to ``carry`` into the result. The counts become a scratch table. Both sides are read
+    more than once.
     """
     if counts is None:
         counts = left.groupBy(key).agg(F.count("*").alias("_nl")).join(
             right.groupBy(key).agg(F.count("*").alias("_nr")), key, "full_outer"
         )
+    counts = written(counts, "key-counts")
     sides = []
     for side, mine, theirs, here, there, extra in (
         (left, "_nl", "_nr", "_i", "_j", list(carry)),
@@ -134,7 +157,7 @@ def grid_join(
             *extra,
         )
         sides.append(
-            keyed_join(side, known, key, "_rows")
+            keyed_join(side, known, key, "_rows", settled=True)
             .where(F.col("_there").isNotNull())
             .withColumn(here, F.pmod(F.xxhash64(*side.columns), F.col("_here")))
             .withColumn(there, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_there") - 1)))
