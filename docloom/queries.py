@@ -42,7 +42,8 @@ def _index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
-    return index.corpus_totals(docs=_docs(spark, folder))
+    """One row, read several times, so made once."""
+    return written(index.corpus_totals(docs=_docs(spark, folder)), "totals")
 
 
 def _confirmations(spark: SparkSession, folder: str) -> DataFrame:
