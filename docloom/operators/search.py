@@ -217,10 +217,13 @@ def metadata_search(
     for column, value in (("lang", lang), ("source", space), ("cls", cls)):
         if value is not None:
             kept = kept.where(F.col(column) == value)
-    allowed = scored.select("qid", "doc_id", "score").join(kept.select("doc_id"), "doc_id", "left_semi")
-    return top_k(allowed, ["qid"], [F.col("score").desc(), F.col("doc_id")], k).select(
-        "qid", "doc_id", "score", "rank"
-    )
+    # A document may be a hit of very many queries, so they meet by how often it is one.
+    flagged = kept.select("doc_id").withColumn("_kept", F.lit(True))
+    known = scored.groupBy("doc_id").agg(F.count("*").alias("_rows")).join(flagged, "doc_id", "left")
+    allowed = keyed_join(scored.select("qid", "doc_id", "score"), known, "doc_id", "_rows").where("_kept")
+    return top_k(
+        allowed.drop("_kept"), ["qid"], [F.col("score").desc(), F.col("doc_id")], k
+    ).select("qid", "doc_id", "score", "rank")
 
 
 def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFrame:
@@ -296,7 +299,7 @@ def vector_search(
     if rows is None:
         best = nearest_in_blocks(embeddings, queries, k)
     else:
-        best = nearest_in_partitions(embeddings, rows, k)
+        best = nearest_in_partitions(embeddings, rows, k, query_vecs.schema["qid"].dataType.simpleString())
     return top_k(best, ["qid"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
@@ -341,11 +344,13 @@ def contextual_search(
 
 def search_facets(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``lang, source, n`` hit counts, by (lang, source), by lang and in all; ``'*'`` marks totals."""
+    # Hits of a document are counted before they meet it: one may be hit very often.
     finest = (
-        hits.select("doc_id")
+        hits.groupBy("doc_id")
+        .agg(F.count("*").alias("_hits"))
         .join(docs.select("doc_id", "lang", "source"), "doc_id")
         .groupBy("lang", "source")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_hits").alias("_n"))
     )
     return finest.rollup("lang", "source").agg(
         F.sum("_n").alias("n"),

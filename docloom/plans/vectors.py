@@ -15,7 +15,8 @@ QUERY_BLOCK = 2_000
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    return matrix / np.where(norms > 0, norms, 1.0)[:, None], norms > 0
+    valid = np.isfinite(norms) & (norms > 0)
+    return matrix / np.where(valid, norms, 1.0)[:, None], valid
 
 
 class _Best:
@@ -62,7 +63,7 @@ def _schema(qid_type: str) -> str:
     return f"qid {qid_type}, vec_id bigint, score double"
 
 
-def nearest_in_partitions(embeddings: DataFrame, queries: list, k: int) -> DataFrame:
+def nearest_in_partitions(embeddings: DataFrame, queries: list, k: int, qid_type: str) -> DataFrame:
     """Candidates for few queries: one pass over the vectors, queries broadcast."""
     spark = embeddings.sparkSession
     usable = [q for q in queries if q["embedding"]]
@@ -84,7 +85,6 @@ def nearest_in_partitions(embeddings: DataFrame, queries: list, k: int) -> DataF
         for kept in best.values():
             yield kept.frame()
 
-    qid_type = "bigint" if all(isinstance(q["qid"], int) for q in queries) else "string"
     return (
         embeddings.select("vec_id", "embedding")
         .where(F.col("embedding").isNotNull())

@@ -86,6 +86,14 @@ def _passage_hits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _wide_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits to be narrowed down, counted and then joined: made once."""
+    hits = search.bm25_search(
+        _postings(spark, folder), _passage_terms(spark, folder), 100, totals=_totals(spark, folder)
+    )
+    return written(hits, "hits")
+
+
 def _passage_docs(spark: SparkSession, folder: str) -> DataFrame:
     return search.phrase_search(_docs(spark, folder), read_table(spark, folder, "benchmark"))
 
@@ -207,7 +215,7 @@ def registered() -> dict[str, Query]:
         "bm25_search": _passage_hits,
         "metadata_search": lambda s, d: search.metadata_search(
             _docs(s, d).join(classify.classify_rules(_docs(s, d)), "doc_id"),
-            search.bm25_search(_postings(s, d), _passage_terms(s, d), 100, totals=_totals(s, d)),
+            _wide_hits(s, d),
             TOP,
             lang="en",
             cls="general",
