@@ -48,7 +48,6 @@ def passes_luhn(digits: Column) -> Column:
 
 def found(text: Column | str, kind: str) -> Column:
     """Array of the spans of one kind, in reading order."""
-    # The e-mail pattern reads differently as a plain Java string than in SQL text; lit() keeps it.
     spans = F.regexp_extract_all(body(text), F.lit(_JVM[kind]), F.lit(0))
     if kind == "card":
         spans = F.filter(spans, passes_luhn)
@@ -60,7 +59,7 @@ def found(text: Column | str, kind: str) -> Column:
 
 
 def all_found(text: Column | str) -> Column:
-    """Map-like struct: one array of spans per kind."""
+    """Struct with one array of spans per kind."""
     return F.struct(*[found(text, kind).alias(kind) for kind in PATTERNS])
 
 
