@@ -3,14 +3,16 @@
 import __spark_entry__ as contract
 import pytest
 from compare import oracle_rows, spark_rows
+from docloom import oracle
+from docloom.queries import registered
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_same_as_sql(spark, name):
-    assert spark_rows(contract.queries()[name](spark, FOLDER)) == oracle_rows(
-        FOLDER, contract.oracle_sql()[name]
+    assert spark_rows(registered()[name](spark, FOLDER)) == oracle_rows(
+        FOLDER, oracle.statements()[name]
     )
 
 
@@ -19,4 +21,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registered()) == set(oracle.statements())
