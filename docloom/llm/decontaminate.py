@@ -13,9 +13,12 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD_BYTES, map_slices
@@ -166,6 +169,22 @@ def _scan_in_groups(rows: DataFrame, groups: list, window: int, kind: str) -> Da
     return map_slices(hits, finish, done).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def is_contaminated(benchmark: DataFrame, window: int = WINDOW) -> Callable[[Column], Column]:
+    """The verdict as a function of the text's column, for filters that keep a row's other columns."""
+
+    def scan(items: list):
+        @F.pandas_udf("boolean")
+        def verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = _finder(items, window)
+            for part in parts:
+                yield pd.Series([len(find(t)[1]) > 0 for t in part], dtype=bool)
+
+        return verdicts
+
+    scans = [scan(group) for group in _groups(benchmark)]
+    return lambda text: reduce(lambda a, b: a | b, [s(text) for s in scans])
+
+
 def digests(found: DataFrame) -> DataFrame:
     """Counts and digests of what ``find_contamination`` returns."""
     return found.select(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, pieces, sharding, tokencounts, warc
+from docloom.llm import chat, decontaminate, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
 from docloom.llm.common import documents
 from docloom.sources.tables import fresh_path
 
@@ -48,6 +48,15 @@ def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.place(ids, F.col("doc_id"), SHARDS).select("doc_id", "slot", "shard")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, folder, "labels"))).drop("evidence")
+
+
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder))
+
+
 def op7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     model = pieces.read_model(public_tokenizers.path(PIECES))
     encoded = pieces.encode(documents(spark, folder), model)
@@ -59,12 +68,24 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencounts.count_tokens(documents(spark, folder), tokenizer, fresh_path(spark, "token-counts"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_table(spark, folder, "documents")).drop("n_lines")
+
+
+def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixtree.score(documents(spark, folder))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_chat": op2_chat,
         "op3_warc": op3_warc,
         "op4_sharding": op4_sharding,
+        "op5_toxicity": op5_toxicity,
+        "op6_near_duplicates": op6_near_duplicates,
         "op7_pieces": op7_pieces,
         "op8_token_counts": op8_token_counts,
+        "op9_quality": op9_quality,
+        "op10_suffix_tree": op10_suffix_tree,
     }
