@@ -29,12 +29,16 @@ def _proposal(kind: str, target: Column, reason: Column, destructive: bool = Fal
     ]
 
 
-def propose_moves(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One ``move`` to the space named like the class, where the document is not there yet."""
+def propose_moves(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """One ``move`` to the space named like the class, where the document is not there yet.
+
+    Documents that carry their ``cls`` need no ``classes``; for others they are joined.
+    """
+    placed = docs.select("doc_id", "source", *([] if classes is not None else ["cls"]))
+    if classes is not None:
+        placed = placed.join(classes.select("doc_id", "cls"), "doc_id")
     return (
-        docs.select("doc_id", "source")
-        .join(classes.select("doc_id", "cls"), "doc_id")
-        .where(~F.col("source").eqNullSafe(F.col("cls")) & F.col("cls").isNotNull())
+        placed.where(~F.col("source").eqNullSafe(F.col("cls")) & F.col("cls").isNotNull())
         .select(*_proposal("move", F.col("cls"), F.concat(F.lit("class "), F.col("cls"))))
     )
 

@@ -71,21 +71,21 @@ def context_query_terms(
     turns: DataFrame,
     postings: DataFrame,
     back: int = 2,
-    max_terms: int = 8,
-    max_df_ratio: float = 0.1,
+    max_terms: int | None = None,
+    max_df_ratio: float | None = None,
     stats: DataFrame | None = None,
     n_docs: DataFrame | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """``conv_id, turn, term, weight``: search terms for each user turn.
 
-    Own terms weigh 1, those of the j-th previous user turn 0.5^j. Kept are the ``max_terms``
-    best by ``round(weight * idf, 6)``, then by term, among terms of the corpus found in at most
-    ``max_df_ratio`` of its documents. ``stats`` and ``n_docs`` (see ``corpus_totals``) may be
-    given where they exist already. The latter is read at once. Writes the weighed terms as a scratch table.
+    Own terms weigh 1, those of the j-th previous user turn 0.5^j; all that the corpus has are
+    kept. A caller who wants fewer may give ``max_df_ratio``, which leaves out terms of a larger
+    share of the documents, and ``max_terms``, which keeps the best by ``round(weight * idf, 6)``,
+    then by term. ``stats`` and ``n_docs`` (see ``corpus_totals``) may be given where they exist
+    already. Writes the weighed terms as a scratch table.
     """
     stats = term_stats(postings) if stats is None else stats
-    known_docs = (corpus_totals(postings=postings) if n_docs is None else n_docs).first()["n_docs"]
     asked = turns.where(F.col("role") == "user").select(
         "conv_id", "turn", F.array_distinct(tokens("text")).alias("_own")
     )
@@ -112,7 +112,12 @@ def context_query_terms(
         .agg(F.count("*").alias("_rows"))
         .join(stats.select("term", "df", "idf"), "term", "left")
     )
-    kept = keyed_join(weighed, used, "term", "_rows").where(F.col("df") <= max_df_ratio * known_docs)
+    kept = keyed_join(weighed, used, "term", "_rows").where(F.col("df").isNotNull())
+    if max_df_ratio is not None:
+        totals = corpus_totals(postings=postings) if n_docs is None else n_docs
+        kept = kept.where(F.col("df") <= max_df_ratio * totals.select("n_docs").scalar())
+    if max_terms is None:
+        return kept.select("conv_id", "turn", "term", "weight")
     best = F.round(F.col("weight") * F.col("idf"), 6)
     return top_k(
         kept.withColumn("_best", best),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import body, lines, symbol_ratio
@@ -17,24 +17,29 @@ GAP_BLOCK = 4096
 def assemble_pages(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """``doc_id, part, n_pages, text`` from ``doc_id, page_no, text``.
 
-    Of several rows for a page the longest text counts, then the smallest. One row per document,
-    ``part`` 0; past page ``part_pages`` it goes on in further rows, so no row grows without
-    bound. ``n_pages`` counts the pages of the row.
+    Of several rows for a page the longest text counts, then the smallest. One row per document
+    and stretch of ``part_pages`` page numbers, so no row grows without bound; ``part`` is
+    ``page_no div part_pages``. ``n_pages`` counts the pages of the whole document.
     """
     text = body("text")
-    # A minimum, unlike a ranking window, is combined before the shuffle.
-    best = pages.groupBy("doc_id", "page_no").agg(
-        F.min(F.struct((-F.length(text)).alias("neg"), text.alias("text"))).alias("_best")
+    cut = pages.select(
+        "doc_id", F.expr(f"cast(page_no div {part_pages} as bigint)").alias("part"), "page_no", text.alias("text")
     )
-    return (
-        best.groupBy("doc_id", F.expr(f"cast(page_no div {part_pages} as bigint)").alias("part"))
-        .agg(
-            F.count("*").alias("n_pages"),
-            F.array_sort(
-                F.collect_list(F.struct("page_no", F.col("_best.text").alias("text")))
-            ).alias("_pages"),
-        )
-        .select("doc_id", "part", "n_pages", F.array_join(F.col("_pages.text"), "\n").alias("text"))
+    # A minimum, unlike a ranking window, is combined before the shuffle. The pages are dealt out
+    # by (doc_id, part), which serves the grouping by page and by part alike.
+    best = (
+        cut.repartition("doc_id", "part")
+        .groupBy("doc_id", "part", "page_no")
+        .agg(F.min(F.struct((-F.length("text")).alias("neg"), "text")).alias("_best"))
+    )
+    parts = best.groupBy("doc_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("page_no", F.col("_best.text").alias("text")))).alias("_pages")
+    )
+    # Page numbers without texts: counted by part, then over the few parts of a document.
+    numbers = cut.select("doc_id", "part", "page_no").distinct().groupBy("doc_id", "part").agg(F.count("*").alias("_n"))
+    counts = numbers.select("doc_id", "part", F.sum("_n").over(Window.partitionBy("doc_id")).alias("n_pages"))
+    return parts.join(counts, ["doc_id", "part"]).select(
+        "doc_id", "part", "n_pages", F.array_join(F.col("_pages.text"), "\n").alias("text")
     )
 
 

@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from docloom.functions.text import normalised, tokens
 from docloom.operators.conversations import context_query_terms
 from docloom.operators.index import corpus_totals, term_stats
-from docloom.plans.shapes import few_rows, grid_join, keyed_join, top_k
+from docloom.plans.shapes import few_rows, grid_join, is_small, keyed_join, top_k
 from docloom.plans.vectors import nearest_in_blocks, nearest_in_partitions
 from docloom.sources.tables import written
 
 # Query sets up to this many rows, and this many bytes of text, go to every task.
 FEW = 50_000
-# Up to this many terms reach the scan as a filter, more are met by a broadcast semi-join.
-FILTER_TERMS = 200
 FEW_BYTES = 8 << 20
 FEW_VECTORS = 4096
 # A query's first terms are tried until they have this many documents for each wanted hit.
@@ -39,7 +37,8 @@ def boolean_search(
 ) -> DataFrame:
     """``doc_id`` of documents with every ``all`` term, an ``any`` term if given, no ``none`` term.
 
-    The terms reach the scan as a filter; one aggregation answers all three conditions.
+    One aggregation answers all three conditions. On a written index the terms reach the scan as
+    a filter; postings made on the fly are filtered once they are made.
     """
     every, some, never = set(all), set(any), set(none)
     wanted = sorted(every | some | never)
@@ -76,12 +75,14 @@ def bm25_search(
     qid: str = "qid",
     totals: DataFrame | None = None,
     few: int = FEW,
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """``qid, doc_id, score, rank`` for ``queries(qid, term[, weight])``, weights not negative.
 
     score = sum of weight * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b +
     b dl / avgdl)), rounded to 6; rank by score, then ``doc_id``. Postings built with lengths
-    need no join for ``dl``.
+    need no join for ``dl``. ``allowed(doc_id)`` restricts the documents before they are ranked;
+    df, N and the mean length stay those of all documents.
 
     The result is exact, but a query is not paired with every document that shares a word with it:
     1. The k best documents by its most telling terms are scored in full. The k-th hit reaches at
@@ -89,42 +90,43 @@ def bm25_search(
     2. A document holding only terms that cannot sum up to that score is never looked at, which
        spares the frequent terms; the others are scored on their telling terms.
     3. Only those that can still reach the score are looked up in the frequent terms.
-    The postings of the asked terms and the candidates become scratch tables, and so do the
-    weighed terms of a large query set.
+    The asked terms, their postings, the weighed terms and the candidates become scratch tables.
+    A set of queries is broadcast if it has at most ``few`` rows and FEW_BYTES; a larger one is
+    joined in cells.
     """
-    spark = postings.sparkSession
     weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
-    asked = (
+    asked = written(
         queries.select(qid, "term", weight.alias("weight"))
         .groupBy(qid, "term")
-        .agg(F.sum("weight").alias("weight"))
+        .agg(F.sum("weight").alias("weight")),
+        "asked-terms",
     )
-    rows = few_rows(asked, few)
-    small = rows is not None
+    small = is_small(asked, few, FEW_BYTES)
+    wanted = asked.select("term").distinct()
     if small:
-        asked = spark.createDataFrame(rows, asked.schema)
-        listed = sorted({row["term"] for row in rows})
-        if len(listed) <= FILTER_TERMS:
-            kept = postings.where(F.col("term").isin(listed))
-        else:
-            known = spark.createDataFrame([(term,) for term in listed], "term string")
-            kept = postings.join(F.broadcast(known), "term", "left_semi")
+        kept = postings.join(F.broadcast(wanted), "term", "left_semi")
     else:
-        wanted = asked.select("term").distinct().withColumn("_asked", F.lit(True))
-        known = postings.groupBy("term").agg(F.count("*").alias("_rows")).join(wanted, "term", "left")
+        marked = wanted.withColumn("_asked", F.lit(True))
+        known = postings.groupBy("term").agg(F.count("*").alias("_rows")).join(marked, "term", "left")
         kept = keyed_join(postings, known, "term", "_rows").where("_asked").drop("_asked")
 
-    def settled(df: DataFrame, name: str) -> DataFrame:
-        # At most ``few`` rows where ``small``.
-        return spark.createDataFrame(df.collect(), df.schema) if small else written(df, name)
-
     total = (corpus_totals(postings=postings) if totals is None else totals).first()
     n_docs, average = float(total["n_docs"]), total["n_tokens"] / max(total["n_docs"], 1)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    found = written(
-        _with_length(kept, postings).select("term", "doc_id", gain.alias("gain")), "query-postings"
+    met = _with_length(kept, postings).select("term", "doc_id", gain.alias("gain"))
+    if allowed is not None:
+        mine = allowed.select("doc_id").distinct().withColumn("_may", F.lit(True))
+        met = met.join(mine, "doc_id", "left").withColumn("_may", F.coalesce("_may", F.lit(False)))
+    else:
+        met = met.withColumn("_may", F.lit(True))
+    postings_asked = written(met, "query-postings")
+    found = postings_asked.where("_may").drop("_may")
+    # df counts every document, what can be reached only those that may be hits.
+    counts = postings_asked.groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.count(F.when(F.col("_may"), 1)).alias("_hits"),
+        F.max(F.when(F.col("_may"), F.col("gain"))).alias("_top_gain"),
     )
-    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("_top_gain"))
     if small:
         rated = asked.join(counts, "term")
     else:
@@ -134,14 +136,15 @@ def bm25_search(
     by_worth = Window.partitionBy(qid).orderBy(F.col("_worth").desc(), "term")
     before, onwards = by_worth.rowsBetween(Window.unboundedPreceding, -1), by_worth.rowsBetween(0, Window.unboundedFollowing)
     # _most: what a document can score by this term and the less telling ones.
-    weighed = settled(
-        rated.select(qid, "term", "df", (F.col("weight") * idf).alias("w"), "_top_gain")
+    weighed = written(
+        rated.where("_hits > 0")
+        .select(qid, "term", "_hits", (F.col("weight") * idf).alias("w"), "_top_gain")
         .withColumn("_worth", F.col("w") * F.col("_top_gain"))
         .select(
             qid,
             "term",
             "w",
-            F.coalesce(F.sum("df").over(before), F.lit(0)).alias("_docs_before"),
+            F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_docs_before"),
             F.sum("_worth").over(onwards).alias("_most"),
         ),
         "query-terms",
@@ -167,7 +170,7 @@ def bm25_search(
         .select(qid, (F.col("_lowest") - SLACK).alias("_reach"))
     )
     spared = F.max(F.when(F.col("_spare"), F.col("_most"))).over(Window.partitionBy(qid))
-    split = settled(
+    split = written(
         weighed.join(reach, qid, "left")
         .withColumn("_spare", F.coalesce(F.col("_most") < F.col("_reach"), F.lit(False)))
         .withColumn("_need", F.coalesce("_reach", F.lit(0.0)) - F.coalesce(spared, F.lit(0.0)))
@@ -180,14 +183,11 @@ def bm25_search(
         .select(qid, "doc_id", "part"),
         "query-candidates",
     )
-    others = split.where("_spare").groupBy(qid).agg(F.collect_list(F.struct("term", "w")).alias("_others"))
-    if small:
-        completed = candidates.join(F.broadcast(others), qid)
-    else:
-        sizes = candidates.groupBy(qid).agg(F.count("*").alias("_rows")).join(others, qid, "left")
-        completed = keyed_join(candidates, sizes, qid, "_rows").where("_others is not null")
+    others = split.where("_spare").select(qid, "term", "w")
+    # Spared terms stay rows: a query may have any number of them, and of candidates.
+    completed = candidates.join(F.broadcast(others), qid) if small else grid_join(candidates, others, qid)
     looked_up = (
-        completed.select(qid, "doc_id", F.inline("_others"))
+        completed.select(qid, "doc_id", "term", "w")
         .join(found, ["term", "doc_id"])
         .select(qid, "doc_id", (F.col("w") * F.col("gain")).alias("part"))
     )
@@ -201,24 +201,39 @@ def bm25_search(
     )
 
 
+def metadata_matches(
+    docs: DataFrame, lang: str | None = None, space: str | None = None, cls: str | None = None
+) -> DataFrame:
+    """``doc_id`` of the documents that meet the given predicates, which reach the scan."""
+    kept = docs
+    for column, value in (("lang", lang), ("source", space), ("cls", cls)):
+        if value is not None:
+            kept = kept.where(F.col(column) == value)
+    return kept.select("doc_id")
+
+
 def metadata_search(
     docs: DataFrame,
-    scored: DataFrame,
-    k: int,
+    scored: DataFrame | None = None,
+    k: int = 10,
     lang: str | None = None,
     space: str | None = None,
     cls: str | None = None,
+    postings: DataFrame | None = None,
+    queries: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """``qid, doc_id, score, rank`` of the scored documents that meet the given predicates.
+    """``qid, doc_id, score, rank`` of the best documents among those that meet the predicates.
 
-    ``cls`` needs a ``cls`` column in ``docs``. The predicates reach the scan of ``docs``.
+    ``cls`` needs a ``cls`` column in ``docs``. Either ``scored(qid, doc_id, score)`` is given,
+    with every document that may be a hit, or ``postings`` and ``queries``, which are searched
+    with the predicates met first (see ``bm25_search``), so that nothing is cut before them.
     """
-    kept = docs
-    for column, value in (("lang", lang), ("source", space), ("cls", cls)):
-        if value is not None:
-            kept = kept.where(F.col(column) == value)
+    matches = metadata_matches(docs, lang, space, cls)
+    if scored is None:
+        return bm25_search(postings, queries, k, totals=totals, allowed=matches)
     # A document may be a hit of very many queries, so they meet by how often it is one.
-    flagged = kept.select("doc_id").withColumn("_kept", F.lit(True))
+    flagged = matches.withColumn("_kept", F.lit(True))
     known = scored.groupBy("doc_id").agg(F.count("*").alias("_rows")).join(flagged, "doc_id", "left")
     allowed = keyed_join(scored.select("qid", "doc_id", "score"), known, "doc_id", "_rows").where("_kept")
     return top_k(
@@ -235,10 +250,9 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
     wanted = phrases.select(
         "item_id", normalised("text").alias("_phrase"), F.array_distinct(tokens("text")).alias("_tokens")
     ).where(F.size("_tokens") > 0)
-    size = wanted.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_phrase")), F.lit(0)).alias("bytes")
-    ).first()
+    wanted = written(wanted, "phrases")
     needed = wanted.select("item_id", F.size("_tokens").alias("_n"), F.explode("_tokens").alias("term"))
+    asked = needed.select("term").distinct()
 
     def rarest(rated: DataFrame) -> DataFrame:
         # A phrase with a token no document has is dropped by the count of its tokens.
@@ -249,37 +263,34 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
             .select("item_id", F.col("_rare.term").alias("term"))
         )
 
-    if size["n"] <= few and size["bytes"] <= FEW_BYTES:
-        every = sorted({row["term"] for row in needed.select("term").distinct().collect()})
-        held = F.filter(F.array_distinct(tokens("text")), lambda t: t.isin(every))
-        counts = docs.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        rare = rarest(needed.join(counts, "term")).join(wanted.select("item_id", "_phrase"), "item_id").collect()
-        terms = sorted({row["term"] for row in rare})
-        tries = F.filter(F.array_distinct(tokens("text")), lambda t: t.isin(terms))
-        candidates = docs.select("doc_id", normalised("text").alias("_text"), F.explode(tries).alias("term"))
-        # At most ``few`` rows and FEW_BYTES, by the check above.
-        small = docs.sparkSession.createDataFrame(
-            [(row["item_id"], row["term"], row["_phrase"]) for row in rare],
-            f"item_id {phrases.schema['item_id'].dataType.simpleString()}, term string, _phrase string",
-        )
+    def held(terms: DataFrame, *columns: str) -> DataFrame:
+        """Distinct tokens of the documents, those among ``terms``."""
+        spelled = docs.select("doc_id", *columns, F.explode(F.array_distinct(tokens("text"))).alias("term"))
+        return spelled.join(F.broadcast(terms), "term")
+
+    if is_small(wanted, few, FEW_BYTES):
+        counts = held(asked).groupBy("term").agg(F.count("*").alias("df"))
+        rare = written(rarest(needed.join(counts, "term")).join(wanted.select("item_id", "_phrase"), "item_id"), "rarest-terms")
         return (
-            candidates.join(F.broadcast(small), "term")
-            .where(F.contains("_text", "_phrase"))
+            held(rare, "text")
+            .where(F.contains(normalised("text"), F.col("_phrase")))
             .select("doc_id", "item_id")
         )
 
-    # Each step is read several times by the next, so each is written.
-    doc_terms = written(
-        docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term")), "doc-terms"
-    )
+    # Each step is read several times by the next, so each is written. Of the documents' tokens
+    # only those of phrases are: a semi-join that Spark's skew join splits at frequent tokens.
+    spelled = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    doc_terms = written(spelled.join(asked, "term", "left_semi"), "doc-terms")
     counts = doc_terms.groupBy("term").agg(F.count("*").alias("df"))
     used = needed.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
     rare = written(rarest(keyed_join(needed, used, "term", "_rows").where("df is not null")), "rarest-terms")
     pairs = written(grid_join(doc_terms, rare, "term").select("doc_id", "item_id"), "phrase-pairs")
     # A document or phrase in very many pairs is copied to slices of them, never broadcast.
-    asked = written(grid_join(pairs, wanted.select("item_id", "_phrase"), "item_id"), "phrases-asked")
+    tried = written(grid_join(pairs, wanted.select("item_id", "_phrase"), "item_id"), "phrases-asked")
+    # Only texts with a candidate are taken to the join.
+    texts = docs.join(tried.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
-        grid_join(asked, docs.select("doc_id", normalised("text").alias("_text")), "doc_id")
+        grid_join(tried, texts.select("doc_id", normalised("text").alias("_text")), "doc_id")
         .where(F.contains("_text", "_phrase"))
         .select("doc_id", "item_id")
     )
@@ -308,8 +319,8 @@ def contextual_search(
     postings: DataFrame,
     k: int = 5,
     back: int = 2,
-    max_terms: int = 8,
-    max_df_ratio: float = 0.1,
+    max_terms: int | None = None,
+    max_df_ratio: float | None = None,
     totals: DataFrame | None = None,
     few: int = FEW,
 ) -> DataFrame:
@@ -328,17 +339,12 @@ def contextual_search(
         .withColumn("qid", F.sha2(F.to_json("_terms"), 256)),
         "turn-queries",
     )
-    distinct = asked.groupBy("qid").agg(
-        F.count("*").alias("_rows"), F.any_value("_terms").alias("_terms")
-    )
-    queries = written(distinct.select("qid", F.inline("_terms")), "distinct-queries")
-    hits = bm25_search(postings, queries, k, totals=totals, few=few)
-    per_query = hits.groupBy("qid").agg(
-        F.collect_list(F.struct("doc_id", "score", "rank")).alias("_hits")
-    )
-    answers = distinct.select("qid", "_rows").join(per_query, "qid", "left")
-    return keyed_join(asked.select("conv_id", "turn", "qid"), answers, "qid", "_rows").select(
-        "conv_id", "turn", F.inline("_hits")
+    distinct = asked.groupBy("qid").agg(F.any_value("_terms").alias("_terms"))
+    hits = bm25_search(postings, distinct.select("qid", F.inline("_terms")), k, totals=totals, few=few)
+    # A query may be that of very many turns, and has k hits.
+    hits = written(hits, "query-hits")
+    return grid_join(asked.select("conv_id", "turn", "qid"), hits, "qid").select(
+        "conv_id", "turn", "doc_id", "score", "rank"
     )
 
 

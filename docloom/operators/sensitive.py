@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,8 @@ def _level_from_counts(counts: Column) -> Column:
     return F.when(high > 0, "high").when(any_kind > 0, "medium").otherwise("none")
 
 
-def sensitivity_label(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_spans, kinds, level`` for every document, from its own row."""
+def sensitivity_label(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, n_spans, kinds, level`` for every document, from its own row, and ``carry``."""
     spans = docs.withColumn("_spans", all_found("text"))
     counts = F.struct(*[F.size(F.col("_spans")[kind]).alias(kind) for kind in PATTERNS])
     kinds = F.concat_ws(
@@ -51,7 +52,7 @@ def sensitivity_label(docs: DataFrame) -> DataFrame:
         n_spans.cast("long").alias("n_spans"),
         kinds.alias("kinds"),
         _level_from_counts(F.col("_counts")).alias("level"),
-    ).select("doc_id", "n_spans", "kinds", "level")
+    ).select("doc_id", *carry, "n_spans", "kinds", "level")
 
 
 def mask_sensitive(df: DataFrame, col: str) -> DataFrame:
@@ -59,7 +60,7 @@ def mask_sensitive(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, masked_text(col))
 
 
-def decided(labelled: DataFrame, confirmations: DataFrame) -> DataFrame:
+def decided(labelled: DataFrame, confirmations: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Join each labelled document with the verdict of its confirmations.
 
     All confirmations of a document count, and they are combined before the join.
@@ -73,26 +74,27 @@ def decided(labelled: DataFrame, confirmations: DataFrame) -> DataFrame:
         .otherwise("held")
     )
     return labelled.join(verdicts, "doc_id", "left").select(
-        "doc_id", "level", decision.alias("decision")
+        "doc_id", *carry, "level", decision.alias("decision")
     )
 
 
-def route_external(docs: DataFrame, confirmations: DataFrame) -> DataFrame:
+def route_external(docs: DataFrame, confirmations: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """``doc_id, level, decision``: may the document go to an external service?
 
-    Only (doc_id, level) is joined; the text stays in the scan.
+    Only (doc_id, level) and the columns of ``carry`` are joined; the text stays in the scan.
     """
-    return decided(sensitivity_label(docs).select("doc_id", "level"), confirmations)
+    return decided(sensitivity_label(docs, carry).select("doc_id", *carry, "level"), confirmations, carry)
 
 
-def egress_audit(decisions: DataFrame, docs: DataFrame) -> DataFrame:
-    """``source, decision, n`` with subtotals marked ``'*'``; the total is the document count."""
-    finest = (
-        docs.select("doc_id", "source")
-        .join(decisions.select("doc_id", "decision"), "doc_id", "left")
-        .groupBy("source", "decision")
-        .agg(F.count("*").alias("_n"))
-    )
+def egress_audit(decisions: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """``source, decision, n`` with subtotals marked ``'*'``; the total is the document count.
+
+    Decisions that carry their ``source`` need no ``docs``; for others they are joined.
+    """
+    placed = decisions
+    if docs is not None:
+        placed = docs.select("doc_id", "source").join(decisions.select("doc_id", "decision"), "doc_id", "left")
+    finest = placed.groupBy("source", "decision").agg(F.count("*").alias("_n"))
     return finest.cube("source", "decision").agg(
         F.sum("_n").alias("n"),
         F.grouping("source").alias("_all_sources"),

@@ -11,6 +11,8 @@ from docloom.sources.tables import written
 
 # At most this many keys are called heavy, so at most this many rows are ever broadcast.
 HEAVY_KEYS = 10_000
+# What is broadcast is at most this large, too.
+BROADCAST_BYTES = 32 << 20
 # Order values that fall in one block of a long sequence.
 BLOCK = 4096
 
@@ -50,12 +52,15 @@ def keyed_join(
     size = right.agg(
         F.count("*").alias("keys"), F.sum(rows).alias("total"), F.max(rows).alias("largest")
     ).first()
-    if size["keys"] <= HEAVY_KEYS:
+    if size["keys"] <= HEAVY_KEYS and is_small(right, HEAVY_KEYS, BROADCAST_BYTES):
         return left.join(F.broadcast(right.drop(rows)), key)
-    limit = -(-size["total"] // HEAVY_KEYS)
-    if size["largest"] < limit:
+    limit = -(-(size["total"] or 0) // HEAVY_KEYS)
+    if (size["largest"] or 0) < limit:
         return left.join(right.drop(rows), key)
     heavy = right.where(F.col(rows) >= limit).drop(rows)
+    if not is_small(heavy, HEAVY_KEYS, BROADCAST_BYTES):
+        # Rows too wide to broadcast: Spark's skew join has to split the heavy keys.
+        return left.join(right.drop(rows), key)
     light = right.where(F.col(rows) < limit).drop(rows)
     by_broadcast = left.join(F.broadcast(heavy), key)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
@@ -166,6 +171,18 @@ def grid_join(
     return sides[0].join(sides[1], [key, "_i", "_j"]).drop("_i", "_j")
 
 
+def size_in_bytes(df: DataFrame) -> Column:
+    """Aggregate: about how many bytes the rows take, by their JSON form."""
+    return F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+
+
+def is_small(df: DataFrame, rows: int, size: int) -> bool:
+    """Whether ``df`` has at most that many rows and bytes, so that it may be broadcast. Looks at
+    no more than one row beyond the limit; runs a job."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("rows"), size_in_bytes(df).alias("size")).first()
+    return seen["rows"] <= rows and seen["size"] <= size
+
+
 def few_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of ``df`` if there are at most ``limit``, else None. Runs a job."""
     rows = df.limit(limit + 1).collect()

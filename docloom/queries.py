@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import lines, symbol_ratio, tokens
 from docloom.operators import actions, classify, conversations, index, scanner, search, sensitive
-from docloom.sources.tables import fresh_path, read_table, written
+from docloom.sources.tables import fresh_path, read_postings, read_table, write_postings, written
 from docloom.streaming import routing
 
 # Parameters of the registered queries.
 ALL_TERMS, ANY_TERMS, NONE_TERMS = ["the", "of"], ["tion", "thon", "ing"], ["thed", "la"]
 TOP = 10
+# Small, so that conversations and documents of the tables come in several parts.
+PART_TURNS, PART_PAGES = 3, 5
 GATE_FLOOR = 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +39,10 @@ def _postings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, folder: str) -> DataFrame:
-    """Postings for a query that reads them several times: made once, as a scratch table."""
-    return written(_postings(spark, folder), "postings")
+    """Postings for a query that reads them several times: an index, written by the sink."""
+    path = fresh_path(spark, "index")
+    write_postings(_postings(spark, folder), path)
+    return read_postings(spark, path)
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,12 +90,17 @@ def _passage_hits(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _wide_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Hits to be narrowed down, counted and then joined: made once."""
-    hits = search.bm25_search(
-        _postings(spark, folder), _passage_terms(spark, folder), 100, totals=_totals(spark, folder)
+def _filtered_hits(spark: SparkSession, folder: str) -> DataFrame:
+    docs = classify.classify_rules(_docs(spark, folder), carry=["lang"])
+    return search.metadata_search(
+        docs,
+        k=TOP,
+        lang="en",
+        cls="general",
+        postings=_postings(spark, folder),
+        queries=_passage_terms(spark, folder),
+        totals=_totals(spark, folder),
     )
-    return written(hits, "hits")
 
 
 def _passage_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +127,7 @@ def _keywords(spark: SparkSession, folder: str, k: int) -> DataFrame:
 def _proposals(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
     return (
-        actions.propose_moves(docs, classify.classify_rules(docs))
+        actions.propose_moves(classify.classify_rules(docs, carry=["source"]))
         .unionByName(actions.propose_tags(_keywords(spark, folder, 1)))
         .unionByName(actions.propose_dedup(docs))
     )
@@ -135,15 +144,21 @@ def _gated(spark: SparkSession, folder: str) -> DataFrame:
     return actions.gate_actions(proposals, answers)
 
 
-def _model(postings: DataFrame, labels: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+def _labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that have labels: all that training and measuring need to tokenise."""
+    return _docs(spark, folder).join(_labels(spark, folder).select("doc_id"), "doc_id", "left_semi")
+
+
+def _model(spark: SparkSession, folder: str, target: str) -> tuple[DataFrame, DataFrame]:
     """Trained once: the terms are a scratch table, the classes one row."""
-    terms, classes = classify.train_nb(postings, labels, target)
+    postings = index.build_postings(_labelled(spark, folder))
+    terms, classes = classify.train_nb(postings, _labels(spark, folder), target)
     return written(terms, "nb-terms"), classes
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     postings = _index(spark, folder)
-    model = _model(postings, _labels(spark, folder), "quality")
+    model = _model(spark, folder, "quality")
     return classify.score_nb(model, postings, _docs(spark, folder))
 
 
@@ -159,10 +174,10 @@ def _f1(preds: DataFrame, labels: DataFrame, target: str, y: int) -> Column:
 
 def _gate_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The trained model against the word rule, on the labels kept out of the training."""
-    docs, labels = _docs(spark, folder), _labels(spark, folder)
-    unseen = labels.where(F.col("doc_id") % 5 == 0)
-    postings = _index(spark, folder)
-    scored = classify.score_nb(_model(postings, labels, "toxic"), postings, docs)
+    unseen = _labels(spark, folder).where(F.col("doc_id") % 5 == 0)
+    docs = written(_docs(spark, folder).join(unseen.select("doc_id"), "doc_id", "left_semi"), "unseen-documents")
+    postings = index.build_postings(docs)
+    scored = classify.score_nb(_model(spark, folder, "toxic"), postings, docs)
     trained = _f1(scored, unseen, "toxic", 1)
     rule = _f1(_toxic_rule(docs), unseen, "toxic", 1)
     return spark.range(1).select(
@@ -175,7 +190,7 @@ def _gate_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def _egress(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return sensitive.egress_audit(sensitive.route_external(docs, _confirmations(spark, folder)), docs)
+    return sensitive.egress_audit(sensitive.route_external(docs, _confirmations(spark, folder), carry=["source"]))
 
 
 def _routed_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,7 +217,7 @@ def _query_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def registered() -> dict[str, Query]:
     return {
-        "conversation_threads": lambda s, d: conversations.conversation_threads(_turns(s, d)),
+        "conversation_threads": lambda s, d: conversations.conversation_threads(_turns(s, d), PART_TURNS),
         "context_window": lambda s, d: conversations.context_window(_turns(s, d)),
         "context_query_terms": _query_terms,
         "build_postings": lambda s, d: index.build_postings(_docs(s, d)),
@@ -213,13 +228,7 @@ def registered() -> dict[str, Query]:
             _postings(s, d), ALL_TERMS, ANY_TERMS, NONE_TERMS
         ),
         "bm25_search": _passage_hits,
-        "metadata_search": lambda s, d: search.metadata_search(
-            _docs(s, d).join(classify.classify_rules(_docs(s, d)), "doc_id"),
-            _wide_hits(s, d),
-            TOP,
-            lang="en",
-            cls="general",
-        ),
+        "metadata_search": _filtered_hits,
         "phrase_search": _passage_docs,
         "vector_search": lambda s, d: search.vector_search(
             read_table(s, d, "embeddings"), _centroids(s, d), TOP
@@ -229,15 +238,13 @@ def registered() -> dict[str, Query]:
             _docs(s, d), search.boolean_search(_postings(s, d), ALL_TERMS, ANY_TERMS, NONE_TERMS)
         ),
         "classify_rules": lambda s, d: classify.classify_rules(_docs(s, d)),
-        "train_nb": lambda s, d: classify.nb_rows(
-            _model(_postings(s, d), _labels(s, d), "quality")
-        ),
+        "train_nb": lambda s, d: classify.nb_rows(_model(s, d, "quality")),
         "score_nb": _scored,
         "resolve_predictions": lambda s, d: classify.resolve_predictions(
             _remote(s, d), classify.classify_rules(_docs(s, d))
         ),
         "evaluate_classifier": lambda s, d: classify.evaluate_classifier(
-            _toxic_rule(_docs(s, d)), _labels(s, d), "toxic"
+            _toxic_rule(_labelled(s, d)), _labels(s, d), "toxic"
         ),
         "evaluate_search": lambda s, d: classify.evaluate_search(
             _passage_hits(s, d),
@@ -254,14 +261,14 @@ def registered() -> dict[str, Query]:
         "route_external_stream": _routed_stream,
         "egress_audit": _egress,
         "propose_moves": lambda s, d: actions.propose_moves(
-            _docs(s, d), classify.classify_rules(_docs(s, d))
+            classify.classify_rules(_docs(s, d), carry=["source"])
         ),
         "propose_tags": lambda s, d: actions.propose_tags(_keywords(s, d, 1)),
         "propose_dedup": lambda s, d: actions.propose_dedup(_docs(s, d)),
         "gate_actions": _gated,
         "apply_actions": lambda s, d: actions.apply_actions(_docs(s, d), _gated(s, d)),
         "action_summary": lambda s, d: actions.action_summary(_gated(s, d)),
-        "assemble_pages": lambda s, d: scanner.assemble_pages(_pages(s, d)),
+        "assemble_pages": lambda s, d: scanner.assemble_pages(_pages(s, d), PART_PAGES),
         "missing_pages": lambda s, d: scanner.missing_pages(_found_pages(s, d)),
         "clean_ocr_text": lambda s, d: scanner.clean_ocr_text(_docs(s, d)),
     }

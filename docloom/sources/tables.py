@@ -9,26 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: list[str] = []
-
-
-# A table up to this size is dealt out again where its files give too few tasks.
-SMALL_BYTES = 256 << 20
+# Only a scan of fewer tasks than this is ever dealt out again.
+SPREAD_TASKS = 16
 
 
 def read_table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
     """A parquet table.
 
-    ``spread`` deals a small table out to all cores, which a single row group would leave to one
-    task. A table above SMALL_BYTES, or of as many files as cores, is never moved.
+    ``spread`` deals a table out to all cores that its scan would leave to fewer tasks, as a table
+    of one row group is. A scan has a task for each 128 MB at least, so no large table is moved.
     """
-    path = f"{folder}/{name}.parquet"
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if not spread or len(table.inputFiles()) >= cores:
-        return table
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    size = sizes.agg(F.sum("length")).first()[0]
-    return table.repartition(cores) if size <= SMALL_BYTES else table
+    return table.repartition(cores) if spread and table.rdd.getNumPartitions() < min(cores, SPREAD_TASKS) else table
 
 
 def scratch_folder(spark: SparkSession) -> str:
