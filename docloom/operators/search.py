@@ -23,6 +23,7 @@ from docloom.sources.tables import written
 FEW = 50_000
 FEW_BYTES = 8 << 20
 FEW_VECTORS = 4096
+FEW_VECTOR_BYTES = 64 << 20
 # A query's first terms are tried until they have this many documents for each wanted hit.
 SEEDS = 4
 # Scores nearer than this may round alike, so nothing is left out for less.
@@ -306,7 +307,7 @@ def vector_search(
     are never rows. Zero vectors, and vectors of another length than the query, have no score.
     """
     queries = query_vecs.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = few_rows(queries, few)
+    rows = few_rows(queries, few) if is_small(queries, few, FEW_VECTOR_BYTES) else None
     if rows is None:
         best = nearest_in_blocks(embeddings, queries, k)
     else:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EMBEDDING_BLOCK = 50_000
-QUERY_BLOCK = 2_000
+# Queries of one pass, in bytes of their vectors.
+QUERY_BYTES = 16 << 20
+# Largest matrix of scores a task makes at once, in bytes; about four of its size are alive.
+SCORE_BYTES = 8 << 20
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,39 +27,45 @@ class _Best:
 
     def __init__(self, qids: list, vectors: list, k: int):
         unit, valid = _unit(np.asarray(vectors, dtype=np.float64).reshape(len(qids), -1))
-        self.qids = [q for q, ok in zip(qids, valid) if ok]
+        self.qids = np.asarray([q for q, ok in zip(qids, valid) if ok], dtype=object)
         self.unit, self.k = unit[valid].T, k
-        self.ids = [np.empty(0, dtype=np.int64) for _ in self.qids]
-        self.scores = [np.empty(0) for _ in self.qids]
+        # Of all queries together, by query, then best first.
+        self.query = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype=np.int64)
+        self.scores = np.empty(0)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        rows = max(1, SCORE_BYTES // (8 * max(1, len(self.qids))))
+        for at in range(0, len(ids), rows):
+            self._add(ids[at : at + rows], vectors[at : at + rows])
+
+    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         unit, valid = _unit(vectors.astype(np.float64))
         ids = ids[valid]
+        if not len(ids) or not len(self.qids):
+            return
         # Rounded here and nowhere later, so that ties mean the same in every task.
-        raw = unit[valid] @ self.unit * 1e6
-        rounded = np.trunc(raw + np.copysign(0.5, raw)) / 1e6
-        for q in range(len(self.qids)):
-            score, known = rounded[:, q], self.scores[q]
-            if len(known) == self.k:
-                near = np.flatnonzero(score >= known[-1])
-            else:
-                near = np.arange(len(score))
-            if not len(near):
-                continue
-            all_scores = np.concatenate([known, score[near]])
-            all_ids = np.concatenate([self.ids[q], ids[near]])
-            order = np.lexsort((all_ids, -all_scores))[: self.k]
-            self.scores[q], self.ids[q] = all_scores[order], all_ids[order]
+        scores = unit[valid] @ self.unit * 1e6
+        scores = np.trunc(scores + np.copysign(0.5, scores)) / 1e6
+        # A query's k-th best of this block, or of those seen, is the least that can still count.
+        least = np.full(len(self.qids), -np.inf)
+        if len(ids) >= self.k:
+            least = np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
+        seen = np.bincount(self.query, minlength=len(self.qids))
+        full = np.flatnonzero(seen >= self.k)
+        least[full] = np.maximum(least[full], self.scores[np.cumsum(seen)[full] - 1])
+        row, query = np.nonzero(scores >= least)
+        query = np.concatenate([self.query, query])
+        all_ids = np.concatenate([self.ids, ids[row]])
+        values = np.concatenate([self.scores, scores[row, query[len(self.query) :]]])
+        order = np.lexsort((all_ids, -values, query))
+        query = query[order]
+        starts = np.searchsorted(query, np.arange(len(self.qids)))
+        best = np.arange(len(query)) - starts[query] < self.k
+        self.query, self.ids, self.scores = query[best], all_ids[order][best], values[order][best]
 
     def frame(self) -> pd.DataFrame:
-        sizes = [len(s) for s in self.scores]
-        return pd.DataFrame(
-            {
-                "qid": np.repeat(np.asarray(self.qids, dtype=object), sizes),
-                "vec_id": np.concatenate([*self.ids, np.empty(0, dtype=np.int64)]),
-                "score": np.concatenate([*self.scores, np.empty(0)]),
-            }
-        )
+        return pd.DataFrame({"qid": self.qids[self.query], "vec_id": self.ids, "score": self.scores})
 
 
 def _schema(qid_type: str) -> str:
@@ -93,36 +102,18 @@ def nearest_in_partitions(embeddings: DataFrame, queries: list, k: int, qid_type
 
 
 def nearest_in_blocks(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates for many queries: blocks of vectors meet blocks of queries, never whole sides.
+    """Candidates for many queries: blocks of queries, one pass over the vectors each.
 
-    Runs two counts to size the grid.
+    The vectors stay where they are read, and are not copied for each block. A block has about
+    QUERY_BYTES of vectors, and one at a time is on its way to the tasks. Runs a job to size the
+    blocks, and one per block to fetch it.
     """
-    rows = -(-embeddings.count() // EMBEDDING_BLOCK) or 1
-    columns = -(-queries.count() // QUERY_BLOCK) or 1
-    vectors = (
-        embeddings.select("vec_id", "embedding", F.size("embedding").alias("_n"))
-        .where("_n > 0")
-        .withColumn("_row", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("long"))
-        .withColumn("_column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))))
-    )
-    asked = (
-        queries.select("qid", "embedding", F.size("embedding").alias("_n"))
-        .where("_n > 0")
-        .withColumn("_column", F.pmod(F.xxhash64("qid"), F.lit(columns)).cast("long"))
-        .withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))))
-    )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame({"qid": [], "vec_id": [], "score": []})
-        best = _Best(right["qid"].tolist(), np.stack(right["embedding"].to_numpy()), k)
-        if len(left):
-            best.add(left["vec_id"].to_numpy(), np.stack(left["embedding"].to_numpy()))
-        return best.frame()
-
-    keys = ["_n", "_row", "_column"]
-    return (
-        vectors.groupBy(*keys)
-        .cogroup(asked.groupBy(*keys))
-        .applyInPandas(meet, _schema(queries.schema["qid"].dataType.simpleString()))
-    )
+    sized = queries.where(F.size("embedding") > 0)
+    total = sized.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
+    blocks = -(-total // QUERY_BYTES) or 1
+    qid_type = queries.schema["qid"].dataType.simpleString()
+    passes = []
+    for block in range(blocks):
+        rows = sized.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()
+        passes.append(nearest_in_partitions(embeddings, rows, k, qid_type))
+    return reduce(DataFrame.unionByName, passes)
