@@ -28,10 +28,11 @@ from docloom.sources.tables import written
 # Labelled documents that are examples, at most: those first in an order by hash.
 EXAMPLES = 16_384
 FEATURES = 8_192
-# A feature is in at least so many labelled documents, and its log-likelihood ratio is that high.
-LEAST, RATIO = 5, 30.0
+# A feature is in at least so many documents with the label, in that many times more than without
+# it, and its log-likelihood ratio is that high.
+LEAST, ODDS, RATIO = 5, 4, 30.0
 # Beginnings of words that are features, in characters.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 NEAREST = 15
 BLOCK = 64
 THRESHOLD = 0.3
@@ -188,7 +189,7 @@ def _chosen_features(sample: DataFrame) -> list[str]:
     best = (
         per_slice.groupBy("feature")
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where((a >= LEAST) & (a > expected))
+        .where((a >= LEAST) & (a > ODDS * b))
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= RATIO)
         .orderBy(F.col("ratio").desc(), "feature")
