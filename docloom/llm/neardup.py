@@ -10,8 +10,10 @@ Only components are asked for, so not all pairs are looked at, and yet no link t
 2. Each node meets the smallest node of each of its bands. The best estimated of these links is
    confirmed. This joins large groups of copies with one link per document.
 3. Bands whose nodes are all in one component by now can show nothing new. In the others each node
-   outside the band's largest component meets the nodes of other components. A node's best link is
-   confirmed first, then whatever still joins different components.
+   outside the band's largest component meets the nodes of other components, in cells of bounded
+   size: a task estimates all pairs of a cell by their bits, confirms what may be similar enough on
+   the full sets, and passes on no more links than join the cell's components. So pairs are never
+   rows, however many texts share a part.
 
 Two documents at 0.75 share no band with a probability of 2.5e-7. An estimate that far below is
 over six standard deviations off.
@@ -19,14 +21,17 @@ over six standard deviations off.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache, reduce
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from docloom.llm.common import ascii_words, map_slices
+from docloom.llm.common import SLICE, ascii_words, map_slices
 from docloom.sources.tables import written
 
 SHINGLE = 5
@@ -37,6 +42,10 @@ BITS = 2
 LANES = HASHES * BITS // 64
 # Distinct words whose hashes a task remembers.
 TABLE = 1_000_000
+# Nodes of a band that is one cell; nodes of a slice of a larger one, whose cells have two slices.
+SMALL, CELL = 64, 256
+# Shingles that a task compares at once.
+COLUMNS = 4096
 
 _EVEN_BITS = 0x5555555555555555
 # Chance of two unrelated minima to agree in their low bits.
@@ -134,14 +143,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), start, schema)
 
 
-def estimate(a: str, b: str) -> Column:
+def estimate(a: Column, b: Column) -> Column:
     """Similarity by the number of agreeing low bits, less those that agree by chance."""
 
     def differing(x: Column, y: Column) -> Column:
         d = x.bitwiseXOR(y)
         return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(_EVEN_BITS)))
 
-    off = reduce(lambda s, c: s + c, [differing(F.col(a)[i], F.col(b)[i]) for i in range(LANES)])
+    off = reduce(lambda s, c: s + c, [differing(a[i], b[i]) for i in range(LANES)])
     return ((1 - off / HASHES) - _CHANCE) / (1 - _CHANCE)
 
 
@@ -218,34 +227,145 @@ def _rated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bits = sets.select(F.col("node").alias("_n"), "bits")
     one = pairs.join(bits, F.col("a") == F.col("_n")).select("a", "b", F.col("bits").alias("bits_a"))
     two = one.join(bits, F.col("b") == F.col("_n")).select("a", "b", "bits_a", F.col("bits").alias("bits_b"))
-    rated = two.select("a", "b", estimate("bits_a", "bits_b").alias("est"))
+    rated = two.select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("est"))
     return rated.groupBy("a", "b").agg(F.max("est").alias("est")).where(F.col("est") >= PLAUSIBLE)
 
 
-def _cross_pairs(sets: DataFrame, active: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Plausible pairs of different components that share a band; None if no band has two."""
+def _mixed_rows(sets: DataFrame, active: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """``key, i, j, node, comp, bits``: the nodes of bands with several components, in cells.
+
+    A small band is one cell, without the nodes that by their bits are near no other component's;
+    bands of which the same nodes are left are one. A larger band's nodes are cut in slices, and
+    so are those outside its largest component; cell (i, j) holds slice i of the outer ones and
+    slice j of all. None if every band has one component.
+    """
     held = sets.join(active, "node", "left_semi").select("node", "bands", "bits")
     rows = written(
         _labelled(held, labels, "node", "comp").select(F.explode("bands").alias("key"), "node", "comp", "bits"),
         "band-rows",
     )
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = F.max(F.struct("n", "comp"))
     mixed = written(
-        sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1"),
+        sizes.groupBy("key")
+        .agg(main["comp"].alias("main"), F.sum("n").alias("n"), (F.sum("n") - main["n"]).alias("outer"), F.count("*").alias("comps"))
+        .where("comps > 1")
+        .select("key", "main", "n", F.ceil(F.col("n") / CELL).alias("slices"), F.ceil(F.col("outer") / CELL).alias("outers")),
         "mixed-bands",
     )
     if mixed.isEmpty():
         return None
-    every = written(rows.join(mixed.select("key", "main"), "key"), "mixed-rows")
-    outside = every.where("comp <> main").select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("bits").alias("bits_b"))
-    inside = every.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("bits").alias("bits_a"), "main")
-    near = (
-        (F.col("comp_a") != F.col("comp_b"))
-        & ((F.col("comp_a") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (estimate("bits_a", "bits_b") >= PLAUSIBLE)
+
+    def near(x: Column, y: Column) -> Column:
+        return (x["comp"] != y["comp"]) & (estimate(x["bits"], y["bits"]) >= PLAUSIBLE)
+
+    gathered = (
+        rows.join(mixed.where(F.col("n") <= SMALL).select("key"), "key")
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_list(F.struct("node", "comp", "bits"))).alias("m"))
+        .select(F.filter("m", lambda x: F.exists("m", lambda y: near(x, y))).alias("m"))
+        .where(F.size("m") > 0)
+        .distinct()
     )
-    met = outside.join(inside, "key").where(near)
-    return met.select("a", "b", estimate("bits_a", "bits_b").alias("est")).distinct()
+    zero = F.lit(0).cast("long")
+    small = gathered.select(F.xxhash64("m.node").alias("key"), zero.alias("i"), zero.alias("j"), F.inline("m"))
+
+    def every(i: Column | None, j: Column | None) -> Column:
+        """The cells of one row or column."""
+        over = F.sequence(zero, F.col("slices" if j is None else "outers") - 1)
+        return F.transform(over, lambda x: F.struct((x if i is None else i).alias("i"), (x if j is None else j).alias("j")))
+
+    mine = F.pmod(F.xxhash64("node"), F.col("slices"))
+    outer = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outers"))
+    cells = F.when(F.col("comp") == F.col("main"), every(None, mine)).otherwise(F.array_union(every(None, mine), every(outer, None)))
+    large = rows.join(mixed.where(F.col("n") > SMALL), "key").select("key", F.inline(cells), "node", "comp", "bits")
+    return small.unionByName(large.select(*small.columns))
+
+
+def _agreement(bits: np.ndarray) -> np.ndarray:
+    """The estimate of similarity for all pairs of rows of packed bits."""
+    off = np.zeros((len(bits), len(bits)))
+    for lane in bits.T.astype(np.uint64):
+        d = lane[:, None] ^ lane[None, :]
+        off += np.bitwise_count((d | (d >> np.uint64(1))) & np.uint64(_EVEN_BITS))
+    return ((1 - off / HASHES) - _CHANCE) / (1 - _CHANCE)
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of sets has in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # What only one set has is in no intersection.
+    owner, number = owner[times[number] > 1], number[times[number] > 1]
+    number = np.unique(number, return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    out = np.zeros((len(sets), len(sets)))
+    width = number[-1] + 1 if len(number) else 0
+    for at in range(0, width, COLUMNS):
+        span = slice(*np.searchsorted(number, [at, at + COLUMNS]))
+        held = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        held[owner[span], number[span] - at] = 1
+        out += held @ held.T
+    return out
+
+
+def _cell_links(node: np.ndarray, comp: np.ndarray, bits: np.ndarray, texts: list, hashes: _WordHashes) -> list[tuple[int, int]]:
+    """Links of a cell's nodes that join different components, as few as tell which."""
+    maybe = np.triu((_agreement(bits) >= PLAUSIBLE) & (comp[:, None] != comp[None, :]))
+    used = np.flatnonzero(maybe.any(axis=0) | maybe.any(axis=1))
+    if not len(used):
+        return []
+    sets = [shingles(texts[i], hashes) for i in used]
+    size = np.array([len(x) for x in sets])
+    shared = _shared(sets)
+    linked = maybe[np.ix_(used, used)] & (shared > 0) & (DEN * shared >= NUM * (size[:, None] + size[None, :] - shared))
+    up = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for x, y in zip(*(used[i] for i in np.nonzero(linked)), strict=True):
+        p, q = top(int(comp[x])), top(int(comp[y]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((int(node[x]), int(node[y])))
+    return out
+
+
+def _links_of_cells(rows: DataFrame) -> DataFrame:
+    """``a, b`` from ``key, i, j, node, comp, bits, text``; a task takes one cell after the other."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        cell: list[tuple] = []
+        links: list[tuple[int, int]] = []
+
+        def finish() -> None:
+            if cell:
+                _, _, _, node, comp, bits, texts = zip(*cell, strict=True)
+                links.extend(_cell_links(np.array(node), np.array(comp), np.array(bits, np.int64).view(np.uint64), texts, hashes))
+                cell.clear()
+
+        for batch in batches:
+            for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if cell and cell[0][:3] != row[:3]:
+                    finish()
+                cell.append(row)
+            if len(links) > SLICE:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], schema=arrow)
+                links.clear()
+        finish()
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], schema=arrow)
+
+    cells = ["key", "i", "j"]
+    dealt = rows.select(*cells, "node", "comp", "bits", "text").repartition(*cells).sortWithinPartitions(*cells)
+    return dealt.mapInArrow(run, StructType.fromDDL("a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,18 +406,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = written(confirm(tried, docs).unionByName(extra), "confirmed-links")
     labels = components(found)
     active = written(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "active-nodes")
-    cross = _cross_pairs(sets, active, labels)
-    if cross is not None:
-        left = written(cross.join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-        first = written(_best(left), "tried-links")
-        found = written(found.unionByName(confirm(first, docs)), "confirmed-links")
+    cells = _mixed_rows(sets, active, labels)
+    if cells is not None:
+        texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), "text")
+        spelled = cells.join(texts, F.col("node") == F.col("_id")).drop("_id")
+        found = written(found.unionByName(_links_of_cells(spelled).distinct()), "confirmed-links")
         labels = components(found)
-        rest = left.select("a", "b").join(first, ["a", "b"], "left_anti")
-        rest = _labelled(_labelled(rest, labels, "a", "comp_a"), labels, "b", "comp_b").where("comp_a <> comp_b").select("a", "b")
-        rest = written(rest, "last-pairs")
-        if not rest.isEmpty():
-            found = written(found.unionByName(confirm(rest, docs)), "confirmed-links")
-            labels = components(found)
     per_doc = _labelled(members, labels, "node", "component_id").select(F.col("doc_id").alias("_doc"), "component_id")
     per_doc = per_doc.groupBy("_doc").agg(F.min("component_id").alias("component_id"))
     counted = signed.select("doc_id", "n_shingles")

@@ -56,9 +56,11 @@ def _family(seed, n, edits, size=60):
     return out
 
 
-@pytest.mark.parametrize("edits", [1, 2, 3])
-def test_same_as_all_pairs(spark, edits):
+@pytest.mark.parametrize("edits,cell", [(1, 256), (2, 256), (2, 7), (3, 7)])
+def test_same_as_all_pairs(spark, monkeypatch, edits, cell):
     """Two and three edits put most pairs near the threshold, on both sides of it."""
+    monkeypatch.setattr(neardup, "CELL", cell)
+    monkeypatch.setattr(neardup, "SMALL", min(cell, neardup.SMALL))
     texts = _family(1, 60, edits) + _family(2, 40, edits, 40) + _family(3, 20, edits, 12) + ["one two", "ONE two", "two one"]
     # A chain: each text is linked with the next only.
     chain = [f"c{i}" for i in range(200)]
@@ -102,7 +104,7 @@ def test_estimate(spark):
     one = bits.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), F.col("bits").alias("x"))
     two = bits.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("a"), F.col("bits").alias("y"))
     errors = []
-    for r in one.join(two, "a").select("a", neardup.estimate("x", "y").alias("est")).collect():
+    for r in one.join(two, "a").select("a", neardup.estimate(F.col("x"), F.col("y")).alias("est")).collect():
         s, t = (_set(x) for x in pairs[r.a // 2])
         errors.append(r.est - len(s & t) / len(s | t))
     assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.2
