@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +13,8 @@ from pyspark.sql.types import StructType
 # Rows a Python worker holds as objects at once.
 SLICE = 256
 
-# A word of the benchmark texts: everything but ASCII control, space and punctuation.
-_NOT_WORD = [b for b in range(0x80) if re.match(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]", chr(b).lower())]
-# Lower-cases A-Z and makes every byte that is in no word a space. Bytes of 0x80 on stay.
-WORD_BYTES = bytes(
-    0x20 if chr(b).lower() in map(chr, _NOT_WORD) and b < 0x80 else ord(chr(b).lower()) if b < 0x80 else b
-    for b in range(256)
-)
+# Lower-cases A-Z and makes every ASCII byte but letters and digits a space; others stay.
+WORD_BYTES = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +55,3 @@ def map_slices(
 def ascii_words(text: str | None) -> list[bytes]:
     """Lower-cased A-Z words between ASCII white space, as UTF-8."""
     return text.encode().lower().split() if text else []
-
-
-def struct_of(df: DataFrame, names: Sequence[str]) -> Column:
-    return F.struct(*[F.col(f"`{n}`") for n in names])
