@@ -200,7 +200,9 @@ def test_pages_round_trip(spark):
     back = scanner.assemble_pages(pages).select("doc_id", "text")
     assert docs.select("doc_id", "text").exceptAll(back).count() == 0
     parts = scanner.assemble_pages(pages, part_pages=2)
-    assert parts.agg(F.sum("n_pages")).first()[0] == pages.count()
+    # Every part tells how many pages the document has.
+    assert parts.select("doc_id", "n_pages").distinct().agg(F.sum("n_pages")).first()[0] == pages.count()
+    assert parts.count() == pages.selectExpr("doc_id", "page_no div 2").distinct().count()
 
 
 @pytest.mark.parametrize("block", [1, 3, 4096])
