@@ -14,13 +14,16 @@ tokens with a share of at least ``SYMBOL`` go along, the rest, of which a text h
 counts by a join on hashes. As rare tokens have no probability of their own in any state, a state
 only multiplies their root probability, and the two parts of a text's score add up.
 
-Every pass sums counts in each task before they are shuffled.
+Texts are read twice: once to count tokens, once to write them as numbers, which the counting of
+contexts and the scoring read. Every count is summed up in each task before it is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import SLICE, ascii_words, fold, map_slices
+from docloom.llm.common import SLICE, fold
 from docloom.sources.tables import written
 
 FOLDS, HELD_OUT = 5, 1
@@ -38,27 +41,30 @@ CONTEXT, PAIR, SYMBOL = 1e-4, 2e-6, 5e-7
 DISCOUNT = 0.75
 # Standard deviations of chi-square by which a divergence must exceed its mean.
 DEVIATIONS = 5.0
-# Tokens whose hashes a task remembers, and counts it holds before it passes them on.
-TABLE, HELD = 1_000_000, 4_000_000
+# Words whose codes a task remembers, whose counts it holds, and followers that it holds.
+TABLE, HELD, HELD_KEYS = 1_000_000, 500_000, 4_000_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) >> 1
-        return value
+def _hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 # No word has white space in it.
-_END = xxhash.xxh64_intdigest(b"\n") >> 1
+_END = _hash(b"\n")
+
 
+class _Codes(dict):
+    """Word to the number of its symbol, or, if it is none, to -1 less its hash."""
 
-def _tokens(text: str | None, hashes: _Hashes) -> np.ndarray:
-    """Hashes of the text's words and of the end."""
-    words = ascii_words(text)
-    out = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
-    return np.append(out, _END)
+    def __init__(self, hashes: np.ndarray):
+        self.symbols = {h: i for i, h in enumerate(hashes.tolist())}
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= TABLE:
+            self.clear()
+        h = _hash(word)
+        value = self[word] = self.symbols.get(h, -1 - h)
+        return value
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -69,45 +75,65 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def _summed(docs: DataFrame, keys_of: Callable[[], Callable[[str | None], np.ndarray]], train: bool = True) -> DataFrame:
-    """``key, n[, train]``: how often the keys of each text occur, in all and in training texts.
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+_COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("train", pa.int64())])
 
-    ``docs`` is ``text, held_out``. A task sums up ``HELD`` keys at a time.
-    """
-    arrow = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("train", pa.int64())])
+
+def _token_counts(docs: DataFrame) -> DataFrame:
+    """``key, n, train``: how often each token occurs, in all and in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys_in = keys_of()
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
+        held: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def flush() -> pa.RecordBatch:
-            parts = [np.concatenate(h) if h else np.empty(0, np.int64) for h in held]
-            (out, n_out), (inside, n_in) = (np.unique(p, return_counts=True) for p in parts)
-            key = np.union1d(out, inside)
-            n, trained = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-            trained[np.searchsorted(key, inside)] = n_in
-            n[np.searchsorted(key, out)] = n_out
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n + trained), pa.array(trained)], schema=arrow)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    keys = keys_in(text)
-                    held[0 if out else 1].append(keys)
-                    size += len(keys)
-                if size >= HELD:
-                    yield flush()
-                    held, size = [[], []], 0
-        if size:
-            yield flush()
-
-    source = docs.where("not held_out") if train else docs
-    parts = source.mapInArrow(run, StructType.fromDDL("key long, n long, train long"))
+            words = list(held[False].keys() | held[True].keys())
+            train = [held[False][w] for w in words]
+            n = [t + held[True][w] for t, w in zip(train, words, strict=True)]
+            held[True].clear()
+            held[False].clear()
+            return pa.RecordBatch.from_arrays([pa.array(map(_hash, words), pa.int64()), pa.array(n), pa.array(train)], schema=_COUNTS)
+
+        for part in _slices(batches):
+            for text, out in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held[out].update((text or b"").lower().split())
+                held[out][b"\n"] += 1
+            if len(held[False]) + len(held[True]) >= HELD:
+                yield flush()
+        yield flush()
+
+    raw = docs.select(F.col("text").cast("binary"), "held_out")
+    parts = raw.mapInArrow(run, StructType.fromDDL("key long, n long, train long"))
     return parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("train").alias("train"))
 
 
+def _coded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """``row, doc_id, held_out, symbols, rare``: each text as symbols, -1 where a token is none,
+    the end included, and the hashes of those that are none. Later passes read no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(hashes)
+        for part in _slices(batches):
+            words = [[*(t or b"").lower().split(), b"\n"] for t in part.column(3).to_pylist()]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
+            rare = flat < 0
+            ends = np.r_[0, np.cumsum(lengths)]
+            below = np.r_[0, np.cumsum(rare)][ends]
+            symbols = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.where(rare, -1, flat), pa.int32()))
+            others = pa.ListArray.from_arrays(pa.array(below, pa.int32()), pa.array(-1 - flat[rare], pa.int64()))
+            names = ["row", "doc_id", "held_out", "symbols", "rare"]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], symbols, others], names=names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    raw = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("binary"))
+    return raw.mapInArrow(run, StructType.fromDDL(f"row long, doc_id {kind}, held_out boolean, symbols array<int>, rare array<long>"))
+
+
 @dataclass
 class Level:
     """Contexts of one length: the oldest token, the suffix, and what follows."""
@@ -135,15 +161,20 @@ class Tree:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
     def states(self, symbols: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each length up to ``depth``, the context before each token, -1 for none."""
-        out, before = [], None
+        """For each length up to ``depth``, the context before each token, -1 for none.
+
+        Texts may follow each other: no context has an end in it.
+        """
+        out: list[np.ndarray] = []
+        before = np.zeros(len(symbols), np.int64)
         for d in range(depth):
-            oldest = np.full(len(symbols), -1)
-            oldest[d + 1 :] = symbols[: max(len(symbols) - d - 1, 0)]
-            suffix = np.zeros(len(symbols), np.int64) if before is None else before
-            keys = suffix * self.size + oldest
-            before = np.where((suffix >= 0) & (oldest >= 0), _find(self.levels[d].keys, keys), -1)
-            out.append(before)
+            here = np.flatnonzero(before[d + 1 :] >= 0) + d + 1
+            oldest = symbols[here - d - 1].astype(np.int64)
+            here, oldest = here[oldest >= 0], oldest[oldest >= 0]
+            state = np.full(len(symbols), -1)
+            state[here] = _find(self.levels[d].keys, before[here] * self.size + oldest)
+            out.append(state)
+            before = state
         return out
 
     def probabilities(self, symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -162,30 +193,31 @@ class Tree:
         return p
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    def start():
-        hashes = _Hashes()
-        return lambda text: _tokens(text, hashes)
-
-    return written(_summed(docs, start, train=False), "token-counts")
-
-
-def _followers(docs: DataFrame, tree: Tree, depth: int) -> DataFrame:
+def _followers(coded: DataFrame, tree: Tree, depth: int) -> DataFrame:
     """``key, n`` in training texts: context of length ``depth`` * (symbols + 1) + next symbol."""
+    arrow = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-    def start():
-        hashes = _Hashes()
+        def flush() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], schema=arrow)
 
-        def keys(text):
-            symbols = _find(tree.hashes, _tokens(text, hashes))
+        for part in _slices(batches):
+            symbols = part.column(0).flatten().to_numpy()
             state = tree.states(symbols, depth)[-1]
             here = np.flatnonzero(state >= 0)
             following = np.where(symbols[here] >= 0, symbols[here], tree.size)
-            return state[here] * (tree.size + 1) + following
-
-        return keys
+            held.append(state[here] * (tree.size + 1) + following)
+            if sum(map(len, held)) >= HELD_KEYS:
+                yield flush()
+        if held:
+            yield flush()
 
-    return _summed(docs, start)
+    parts = coded.where("not held_out").select("symbols").mapInArrow(run, StructType.fromDDL("key long, n long"))
+    return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _grown(tree: Tree, level: Level, key: np.ndarray, n: np.ndarray, totals: np.ndarray, suffixes: list[np.ndarray]) -> np.ndarray:
@@ -208,9 +240,9 @@ def _grown(tree: Tree, level: Level, key: np.ndarray, n: np.ndarray, totals: np.
     return 2 * gain > freedom + DEVIATIONS * np.sqrt(2 * np.maximum(freedom, 1))
 
 
-def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of ``docs(text, held_out)`` and the table of all tokens' counts."""
-    counts = _counted(docs)
+def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+    """The tree of ``docs(doc_id, text, held_out)``, the counts of all tokens, the coded texts."""
+    counts = written(_token_counts(docs), "token-counts")
     sums = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("all"),
         F.coalesce(F.sum("train"), F.lit(0)).alias("train"),
@@ -222,6 +254,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
     hashes, trained = frequent["key"].to_numpy(), frequent["train"].to_numpy()
     order = np.argsort(hashes)
     tree = Tree(hashes[order], trained[order], sums["train"], rare, sums["distinct"])
+    coded = written(_coded(docs, tree.hashes), "coded-texts")
     floor = max(2.0, CONTEXT * tree.total)
     end = _find(tree.hashes, np.array([_END]))[0]
     oldest = np.flatnonzero((tree.counts >= floor) & (np.arange(tree.size) != end))
@@ -233,7 +266,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
         if not len(level.keys):
             break
         tree.levels.append(level)
-        pairs = written(_followers(docs, tree, depth), "followers")
+        pairs = written(_followers(coded, tree, depth), "followers")
         # At most 1 / CONTEXT contexts, and as many pairs as 1 / PAIR.
         whole = pairs.groupBy(F.floor(F.col("key") / F.lit(tree.size + 1)).alias("context")).agg(F.sum("n").alias("n")).toArrow()
         totals = np.zeros(len(level.keys))
@@ -258,7 +291,7 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
         often = (n >= floor) & (last != end)
         level = Level(_longer(tree, context[often], last[often]))
     _retain(tree, diverging, parents)
-    return tree, counts
+    return tree, counts, coded
 
 
 def _longer(tree: Tree, context: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -301,7 +334,25 @@ def _retain(tree: Tree, diverging: list[np.ndarray], parents: list[np.ndarray])
         before = number
 
 
-_PARTS = "n_tokens long, n_known long, base double, score double"
+def _scored_symbols(coded: DataFrame, tree: Tree) -> DataFrame:
+    """``row, doc_id, held_out, n_tokens, n_known, base, score`` by the symbols of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.append(np.log10(tree.root(tree.counts)), 0.0)
+        known = np.append(tree.counts > 0, False)
+        for part in _slices(batches):
+            lists = part.column(3)
+            symbols = lists.flatten().to_numpy()
+            lengths = lists.value_lengths().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            sums = [np.add.reduceat(x, starts) for x in (known[symbols].astype(np.int64), logs[symbols], np.log10(tree.probabilities(symbols)))]
+            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+            columns = [part.column(0), part.column(1), part.column(2), pa.array(lengths, pa.int64()), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = coded.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    return coded.select("row", "doc_id", "held_out", "symbols").mapInArrow(run, StructType.fromDDL(schema))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -314,54 +365,28 @@ def score(docs: DataFrame) -> DataFrame:
 
     One row per row; equal texts have equal scores. A null or empty text is an end alone. A null
     ``doc_id`` is fold 0; other columns are not read. Without training texts every token has the
-    root probability of an unknown one. The counts become scratch tables. Words are told apart by
-    63 bits of hash.
+    root probability of an unknown one. Counts and coded texts become scratch tables. Words are
+    told apart by 63 bits of hash.
     """
-    texts = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), FOLDS) == HELD_OUT)
-    tree, counts = learn(texts.select("text", "held_out"))
-    numbered = texts.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text", "held_out")
-
-    def start():
-        hashes = _Hashes()
-        logs = np.log10(tree.root(tree.counts)) if tree.size else np.empty(0)
-
-        def work(row, doc_id, text, held_out):
-            """A head with what symbols give, and a row for each rare token of a text."""
-            out: dict[str, list] = {c: [] for c in ("row", "doc_id", "held_out", "key", "times", "n_tokens", "n_known", "base", "score")}
-
-            def put(*values):
-                for column, value in zip(out.values(), values, strict=True):
-                    column.append(value)
-
-            for r, i, t, h in zip(row, doc_id, text, held_out, strict=True):
-                tokens = _tokens(t, hashes)
-                symbols = _find(tree.hashes, tokens)
-                known = symbols[symbols >= 0]
-                p = tree.probabilities(symbols)
-                base = float(logs[known].sum()) if len(known) else 0.0
-                # Heads have keys that no token has, spread over all tasks.
-                put(r, i, h, -1 - r, 0, len(tokens), int((tree.counts[known] > 0).sum()), base, float(np.log10(p).sum()))
-                rare, times = np.unique(tokens[symbols < 0], return_counts=True)
-                for k, n in zip(rare.tolist(), times.tolist(), strict=True):
-                    put(r, i, h, k, n, 0, 0, 0.0, 0.0)
-            return out
-
-        return work
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, key long, times long, {_PARTS}"
-    parts = map_slices(numbered, start, schema)
+    texts = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
+    tree, counts, coded = learn(texts)
+    heads = _scored_symbols(coded, tree)
     rare = counts.where(F.col("n") < tree.rare).select("key", F.col("train").alias("_c"))
-    met = parts.join(rare, "key", "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
-    unit = F.log10((F.col("_c") + 0.5) / (tree.total + 0.5 * (tree.distinct + 1))) * F.col("times")
+    met = coded.select("row", F.explode("rare").alias("key")).join(rare, "key")
+    others = met.select(
+        "row",
+        F.when(F.col("_c") > 0, 1).otherwise(0).cast("long").alias("known"),
+        F.log10((F.col("_c") + 0.5) / (tree.total + 0.5 * (tree.distinct + 1))).alias("unit"),
+    )
+    # Heads and rare tokens of a text meet in one grouping; only heads have an id.
+    both = heads.unionByName(others, allowMissingColumns=True)
     return (
-        met.groupBy("row", "doc_id", "held_out")
+        both.groupBy("row")
         .agg(
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(F.col("_c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + unit).alias("base_score"),
-            F.sum(F.col("score") + unit).alias("score"),
+            *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")],
+            (F.max("n_known") + F.coalesce(F.sum("known"), F.lit(0))).alias("n_known"),
+            (F.max("base") + F.coalesce(F.sum("unit"), F.lit(0.0))).alias("base_score"),
+            (F.max("score") + F.coalesce(F.sum("unit"), F.lit(0.0))).alias("score"),
         )
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
     )
-

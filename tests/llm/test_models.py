@@ -139,13 +139,13 @@ def test_suffix_tree(spark, monkeypatch):
     """Contexts that matter are retained, and every state's distribution sums to one."""
     monkeypatch.setattr(suffixtree, "SYMBOL", 1e-3)
     texts = _corpus()
-    docs = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean").repartition(3)
-    tree, counts = suffixtree.learn(docs)
+    docs = spark.createDataFrame([(1, t, False) for t in texts], "doc_id long, text string, held_out boolean").repartition(3)
+    tree, counts, _ = suffixtree.learn(docs)
     plain = Counter(w for t in texts for w in [*t.encode().split(), None])
     assert (tree.total, tree.distinct) == (sum(plain.values()), len(plain))
     assert counts.agg(F.sum("train")).first()[0] == tree.total
-    hashes = suffixtree._Hashes()
-    number = {w: int(suffixtree._find(tree.hashes, np.array([hashes[w]]))[0]) for w in plain if w}
+    codes = suffixtree._Codes(tree.hashes)
+    number = {w: codes[w] for w in plain if w}
     known = [number[w] for w in (b"new", b"york", b"the", b"house", b"in")]
     # "in the" and "at the" tell what follows, which "the" does not.
     line = np.array([number[b"in"], number[b"the"], number[b"house"]])
@@ -161,15 +161,17 @@ def test_suffix_tree(spark, monkeypatch):
 
 def test_suffix_tree_counts_followers(spark):
     texts = _corpus()
-    docs = spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean").repartition(3)
-    tree, _ = suffixtree.learn(docs)
+    docs = spark.createDataFrame([(1, t, False) for t in texts], "doc_id long, text string, held_out boolean").repartition(3)
+    tree, _, coded = suffixtree.learn(docs)
     everything = suffixtree.Tree(tree.hashes, tree.counts, tree.total, tree.rare, tree.distinct, [suffixtree.Level(np.arange(tree.size))])
-    got = {r.key: r.n for r in suffixtree._followers(docs, everything, 1).collect()}
-    hashes = suffixtree._Hashes()
+    got = {r.key: r.n for r in suffixtree._followers(coded, everything, 1).collect()}
+    codes = suffixtree._Codes(tree.hashes)
+    end = codes[b"\n"]
     want: Counter = Counter()
     for t in texts:
-        s = suffixtree._find(tree.hashes, suffixtree._tokens(t, hashes)).tolist()
+        s = [codes[w] for w in [*t.encode().split(), b"\n"]]
         want.update(a * (tree.size + 1) + b for a, b in zip(s, s[1:], strict=False))
+    got = {k: n for k, n in got.items() if k // (tree.size + 1) != end}  # the level has the end, too
     assert got == dict(want)
 
 
