@@ -16,7 +16,7 @@ import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -55,10 +55,11 @@ def _record(kind: Column, record_id: Column, lines: list[Column], block: Column)
 
 
 def plan_captures(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``: which page's response each page revisits.
+    """``page_id, url, payload, digest, refers_to, nth``: which page's response each page revisits.
 
     Of pages with equal payloads of at least ``REVISIT_BYTES`` the one with the largest
     ``page_id`` is stored. Payloads are compared by digest; only ids and digests are grouped.
+    ``nth`` tells rows apart that repeat a page: it counts where the join has already put them.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     full = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
@@ -66,12 +67,13 @@ def plan_captures(pages: DataFrame) -> DataFrame:
     stored = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     again = large.join(stored, "digest").where(F.col("page_id") != F.col("refers_to"))
     again = again.groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"))
-    return full.join(again, ["page_id", "digest"], "left")
+    nth = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("digest"))
+    return full.join(again, ["page_id", "digest"], "left").withColumn("nth", nth)
 
 
 def capture_records(planned: DataFrame) -> DataFrame:
     """One string column: the three records of each capture."""
-    response_id = _uuid(F.lit("response"), F.col("page_id"), F.col("digest"))
+    response_id = _uuid(F.lit("response"), F.col("page_id"), F.col("digest"), F.col("nth"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -86,7 +88,7 @@ def capture_records(planned: DataFrame) -> DataFrame:
             url,
             _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             _line("WARC-Profile", F.when(revisit, F.lit(_PROFILE))),
-            _line("WARC-Refers-To", F.when(revisit, _uuid(F.lit("response"), F.col("refers_to"), F.col("digest")))),
+            _line("WARC-Refers-To", F.when(revisit, _uuid(F.lit("response"), F.col("refers_to"), F.col("digest"), F.lit(1)))),
             _line("Content-Type", F.lit("application/http; msgtype=response")),
         ],
         F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))),
@@ -94,13 +96,13 @@ def capture_records(planned: DataFrame) -> DataFrame:
     beside = _line("WARC-Concurrent-To", response_id)
     request = _record(
         F.lit("request"),
-        _uuid(F.lit("request"), F.col("page_id"), F.col("digest")),
+        _uuid(F.lit("request"), F.col("page_id"), F.col("digest"), F.col("nth")),
         [url, beside, _line("Content-Type", F.lit("application/http; msgtype=request"))],
         F.lit("GET / HTTP/1.1\r\n\r\n"),
     )
     metadata = _record(
         F.lit("metadata"),
-        _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest")),
+        _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest"), F.col("nth")),
         [url, beside, _line("Content-Type", F.lit("application/warc-fields"))],
         F.concat(
             _line("page-id", F.col("page_id").cast("string")),
@@ -114,8 +116,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files.
 
     A null html is an empty payload, a null url has no target header. Pages without ``page_id``
-    are stored in full. A page that occurs twice with one payload is one capture. Other columns
-    are not read.
+    are stored in full. A row that occurs twice is two captures. Other columns are not read.
     """
     records = capture_records(plan_captures(pages))
     (
@@ -187,15 +188,15 @@ def assemble_captures(spark: SparkSession, path: str) -> DataFrame:
     """``capture_id, url, response, request, metadata``: one nested row per capture.
 
     The response or revisit stands first; request and metadata are those that name it, null where
-    there is none. Records that occur twice count once. An empty folder of archives gives no rows.
+    there is none. Record identifiers are unique, as the format wants. Archives without records
+    give no rows.
     """
 
     def only(kinds: tuple[str, ...], key: str, *columns: str) -> DataFrame:
         found = read_records(spark, path, kinds)
-        return found.select(F.col(key).alias("capture_id"), F.struct(*columns).alias(kinds[-1])).dropDuplicates(["capture_id"])
+        return found.select(F.col(key).alias("capture_id"), F.struct(*columns).alias(kinds[-1]))
 
-    main = read_records(spark, path, ("revisit", "response")).dropDuplicates(["record_id"])
-    main = main.select(
+    main = read_records(spark, path, ("revisit", "response")).select(
         F.col("record_id").alias("capture_id"), "url", F.struct("kind", "digest", "refers_to", "fields", "payload").alias("response")
     )
     request = only(("request",), "concurrent_to", "record_id", "fields")
