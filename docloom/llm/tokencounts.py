@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docloom.llm.common import map_slices
+from docloom.sources.tables import written
 
 COUNTS = StructType(
     [
@@ -127,21 +128,27 @@ def count_tokens(docs: DataFrame, tokenizer: bytes, cache_path: str, limit: int
     text = normalised(F.col("text"), tokenizer)
     keyed = docs.select("doc_id", "text").withColumn("content", F.sha2(text.cast("binary"), 256))
     contents = keyed.groupBy("content").agg(F.any_value(text).alias("text"))
-    misses = contents.join(_stored(docs, cache_path, version), "content", "left_anti")
+    looked_up = contents.join(_stored(docs, cache_path, version), "content", "left")
+    misses = looked_up.select("content", F.when(F.col("n_tokens").isNull(), F.col("text")).alias("text"), "n_tokens")
 
     def start():
         count = _counter(tokenizer)
-        return lambda content, text: {
-            "content": content,
-            "tokenizer": [version] * len(content),
-            "n_tokens": count(text),
-        }
-
-    counted = map_slices(misses.select("content", "text"), start, "content string, tokenizer string, n_tokens long")
-    counted.write.mode("append").parquet(cache_path)
+
+        def work(content, text, n_tokens):
+            fresh = [n is None for n in n_tokens]
+            counted = iter(count([t for t, f in zip(text, fresh, strict=True) if f]))
+            n_tokens = [next(counted) if f else n for n, f in zip(n_tokens, fresh, strict=True)]
+            return {"content": content, "n_tokens": n_tokens, "fresh": fresh}
+
+        return work
+
+    # One row per different text of the input, made once, then appended and joined.
+    counts = written(map_slices(misses, start, "content string, n_tokens long, fresh boolean"), "content-counts")
+    fresh = counts.where("fresh").select("content", F.lit(version).alias("tokenizer"), "n_tokens")
+    fresh.write.mode("append").parquet(cache_path)
     sized = keyed.select(
         "doc_id", "content", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     )
-    return sized.join(_stored(docs, cache_path, version), "content").select(
+    return sized.join(counts.drop("fresh"), "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
