@@ -43,6 +43,7 @@ GROUP = 200
 QUANTILE = 0.9999
 # Bins to each doubling of the squared distance.
 BINS = 16
+SALTS = 64
 
 
 def _text_stats(text: str | None) -> tuple[int, ...]:
@@ -136,7 +137,7 @@ def _levels(vectors: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("_level"), F.col("_lang"), empty.alias("_source")),
         F.struct(F.lit(2).alias("_level"), empty.alias("_lang"), empty.alias("_source")),
     )
-    return vectors.select(*_X, F.inline(levels))
+    return vectors.select("_salt", *_X, F.inline(levels))
 
 
 def _moments() -> list[Column]:
@@ -187,16 +188,21 @@ def _nearest(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
 
 
 def robust_estimates(vectors: DataFrame) -> DataFrame:
-    """One row per group: centre and inverse scatter. ``vectors`` is a written table."""
+    """One row per group: centre and inverse scatter.
+
+    ``vectors`` is a written table of ``_lang, _source``, the vector, and ``_salt`` below SALTS.
+    """
     rows = _levels(vectors)
     n = F.count("*").cast("double").alias("_n")
     classical = rows.groupBy(*_GROUP).agg(n, *_moments()).groupBy(*_GROUP).applyInPandas(_classical, _ESTIMATES)
     quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"_q{i}") for i, x in enumerate(_X)]
     median = rows.groupBy(*_GROUP).agg(n, *quartiles).groupBy(*_GROUP).applyInPandas(_median, _ESTIMATES)
     current = written(classical.unionByName(median), "outlier-estimates")
+    # A group may hold a third of the rows: they meet its estimate in SALTS parts.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     for _ in range(STEPS):
         binned = (
-            rows.join(current, _GROUP)
+            rows.join(current.withColumn("_salt", salts), [*_GROUP, "_salt"])
             .withColumn("_bin", F.floor(F.log2(_distance() + 1e-6) * BINS).cast("int"))
             .groupBy(*_GROUP, "_start", "_bin")
             .agg(F.count("*").alias("_rows"), *_moments())
@@ -239,7 +245,8 @@ def judge(docs: DataFrame) -> DataFrame:
         .withColumn("_source", F.coalesce("source", F.lit(""))),
         "text-stats",
     )
-    vectors = stats.where("not base_failed").select("_lang", "_source", *[v.alias(x) for v, x in zip(_vector(), _X, strict=True)])
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt")
+    vectors = stats.where("not base_failed").select("_lang", "_source", salt, *[v.alias(x) for v, x in zip(_vector(), _X, strict=True)])
     estimates = written(_chosen(robust_estimates(vectors)), "outlier-groups")
     placed = stats.withColumns(dict(zip(_X, _vector(), strict=True))).join(estimates, ["_lang", "_source"], "left")
     distance = F.when(~F.col("base_failed"), _distance())

@@ -96,6 +96,7 @@ def test_quality_estimate_is_that_of_the_nearest(spark):
     far = random.normal([5.0, -3.0, 4.0, 2.0], 0.2, (300, 4))
     x = np.vstack([bulk, far])
     frame = spark.createDataFrame([(*r, "en", "s") for r in x.tolist()], "_x0 double, _x1 double, _x2 double, _x3 double, _lang string, _source string")
+    frame = frame.withColumn("_salt", F.pmod(F.xxhash64("_x0"), F.lit(quality.SALTS)))
     got = quality.robust_estimates(frame.repartition(7)).where("_level = 0").first()._e
     centre, scatter = np.median(x, axis=0), np.diag(np.square((np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)) / 1.349))
     for _ in range(quality.STEPS):
