@@ -1,146 +1,216 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are a bounded sample of labelled documents. The features are words and beginnings of
-words that go with the label in the sample; weights are (1 + log tf) * idf with document
-frequencies over all documents. A text's nearest examples by exact cosine are found in an inverted
-index cut in blocks of examples: the largest weight of each feature in each block bounds what the
-block's examples can reach, blocks are opened from the highest bound down, and the search ends
-where no bound reaches the k-th best. The examples vote, the nearer the more, and a monotone table
-made by leaving each example out turns votes into scores.
-
-What goes to the tasks is bounded by ``EXAMPLES`` and ``FEATURES``, not by the data.
+Examples are a bounded sample of labelled documents, their features all words of their texts. A
+word weighs (1 + log tf) * idf * relevance, with document frequencies over all documents. The
+relevance is the log of the smoothed rate of the label among examples with the word over the base
+rate, none below 0, plus ``COMMON``: no count decides whether a word exists, and a text without any
+telling word is compared by plain TF-IDF. A text's nearest examples by exact cosine are found in an
+inverted index cut in blocks of examples: the largest weight of each feature in each block bounds
+what the block's examples can reach, blocks are opened from the highest bound down, and the search
+ends where no bound reaches the k-th best. The examples vote, the nearer the more, and a monotone
+table turns votes into scores. It is made by folds of the examples, each judged by a relevance and
+an index of the others.
+
+What goes to the tasks is bounded by the texts of at most ``EXAMPLES`` examples, not by the data.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD_BYTES, fold, map_slices
+from docloom.llm.common import SLICE, WORD_BYTES, fold, map_slices
 from docloom.sources.tables import written
 
 # Labelled documents that are examples, at most: those first in an order by hash.
 EXAMPLES = 16_384
-FEATURES = 8_192
-# A feature is in at least so many documents with the label, in that many times more than without
-# it, and its log-likelihood ratio is that high.
-LEAST, ODDS, RATIO = 5, 4, 30.0
-# Beginnings of words that are features, in characters.
-PREFIXES = (4, 5, 6, 7, 8)
-NEAREST = 15
-BLOCK = 64
+# Examples of the base rate that a word's rate is smoothed by, and the relevance of any word.
+PRIOR, COMMON = 8.0, 0.02
+NEAREST = 9
+BLOCK = 1024
+# So many of the most common features are compared for a whole slice of texts by one product.
+COMMONEST = 256
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 # A vote at similarity s weighs 1 / (1 - s + SOFT); one vote of the base rate stands at s = 0.
 SOFT = 0.05
 BINS = 20
-# Words whose features a task remembers.
-TABLE = 500_000
+# Parts of the examples that are judged by the others for the calibration.
+PARTS = 4
+# Blocks opened at first; each further step opens that many times more.
+STEP = 4
 
 
 def _counts(text: str | None) -> Counter:
     return Counter(text.encode().translate(WORD_BYTES).split()) if text else Counter()
 
 
-def _features(word: bytes) -> list[str]:
-    """The word, and its beginnings, marked as such."""
-    text = word.decode()
-    return [text, *(text[:n] + "-" for n in PREFIXES if len(text) > n)]
-
-
-class _Known(dict):
-    """Word to the numbers of its features."""
-
-    def __init__(self, numbers: dict[str, int]):
-        self.numbers = numbers
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= TABLE:
-            self.clear()
-        found = self[word] = tuple(self.numbers[f] for f in _features(word) if f in self.numbers)
-        return found
+def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the runs that begin there, one after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    """Examples in blocks: postings by (block, feature), and the largest weight of each."""
+    """Examples in blocks: postings by (block, feature), and the largest weight of each such cell.
+    Only cells that have postings are held, by (feature, block)."""
 
     ids: np.ndarray  # of examples, in the index's order
     toxic: np.ndarray
-    starts: np.ndarray  # [blocks, features + 1]: where a feature's postings in a block begin
     examples: np.ndarray
     weights: np.ndarray
-    largest: np.ndarray  # [blocks, features]
+    cells: np.ndarray  # [features + 1]: where a feature's cells begin
+    blocks: np.ndarray  # of cells
+    sizes: np.ndarray
+    block: int  # examples of a block
+
+    def __post_init__(self):
+        turn = np.argsort(self.blocks, kind="stable")
+        ends = np.cumsum(self.sizes[turn], dtype=np.int64)
+        # Where a cell's postings begin, and their largest weight.
+        self.begin, self.largest = np.empty(len(turn), np.int64), np.empty(len(turn), np.float32)
+        self.begin[turn] = ends - self.sizes[turn]
+        self.largest[turn] = np.maximum.reduceat(self.weights, self.begin[turn])
+
+    def __getstate__(self) -> dict:
+        """What can be made again in a task is not sent there."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    @property
+    def starts(self) -> np.ndarray:
+        """[blocks, features + 1]: where a feature's postings in a block begin. Not for large indexes."""
+        counts = np.zeros((-(-len(self.ids) // self.block), len(self.cells) - 1), np.int64)
+        counts[self.blocks, np.repeat(np.arange(len(self.cells) - 1), np.diff(self.cells))] = self.sizes
+        ends = np.cumsum(counts).reshape(counts.shape)
+        return np.hstack([ends[:, :1] - counts[:, :1], ends])
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """[features]: the row of a feature in ``dense``, -1 for those that have none."""
+        held = np.diff(np.r_[0, np.cumsum(self.sizes, dtype=np.int64)][self.cells])
+        out = np.full(len(held), -1)
+        common = np.argsort(-held, kind="stable")[:COMMONEST]
+        out[common] = np.arange(len(common))
+        return out
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """[common features, examples]: weights. Made in each task."""
+        common = np.flatnonzero(self.columns >= 0)
+        out = np.zeros((len(common), len(self.ids)))
+        for feature in common.tolist():
+            cells = slice(self.cells[feature], self.cells[feature + 1])
+            spots = _runs(self.begin[cells], self.sizes[cells])
+            out[self.columns[feature], self.examples[spots]] = self.weights[spots]
+        return out
+
+    @cached_property
+    def block_of(self) -> np.ndarray:
+        return np.arange(len(self.ids)) // self.block
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each of the vectors."""
+        found = []
+        for at in range(0, len(vectors), SLICE):
+            part = vectors[at : at + SLICE]
+            common = np.zeros((len(part), len(self.dense)))
+            for row, (features, weights) in zip(common, part, strict=True):
+                column = self.columns[features]
+                row[column[column >= 0]] = weights[column >= 0]
+            found += [self.nearest(*v, k, sums) for v, sums in zip(part, common @ self.dense, strict=True)]
+        return found
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest; equal ones in the index's order."""
-        bounds = self.largest[:, at] @ weights
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the ``k`` nearest; equal ones in the index's order. ``common`` has
+        for each example what the common features add, which so bounds what a block can reach."""
+        column = self.columns[at]
+        if common is None:
+            common = weights[column >= 0] @ self.dense[column[column >= 0]]
+        at, weights = at[column < 0], weights[column < 0]
+        sizes = self.cells[at + 1] - self.cells[at]
+        cells, by = _runs(self.cells[at], sizes), np.repeat(weights, sizes)
+        blocks = self.blocks[cells]
+        bounds = np.maximum.reduceat(common, np.arange(0, len(common), self.block))
+        bounds += np.bincount(blocks, self.largest[cells] * by, len(bounds))
+        order = np.argsort(-bounds, kind="stable")
+        falling = -bounds[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bounds, kind="stable"):
+        opened, step = 0, STEP
+        while True:
             # Bounds and cosines are summed in different orders.
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] < best[-1] - 1e-9):
+            least = best[-1] - 1e-9 if len(best) == k else 0.0
+            upto = min(opened + step, int(np.searchsorted(falling, -least, "right" if least > 0 else "left")))
+            if upto <= opened:
                 break
-            begin, end = self.starts[block, at], self.starts[block, at + 1]
-            sizes = end - begin
-            total = sizes.sum()
-            if not total:
-                continue
-            spots = np.repeat(begin - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(total)
-            sums = np.bincount(self.examples[spots] - block * BLOCK, self.weights[spots] * np.repeat(weights, sizes), BLOCK)
-            hit = np.flatnonzero(sums > 0)
-            best_at, best = np.r_[best_at, hit + block * BLOCK], np.r_[best, sums[hit]]
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
+            now = (rank >= opened) & (rank < upto)
+            mine = now[blocks]
+            here = cells[mine]
+            spots = _runs(self.begin[here], self.sizes[here])
+            sums = np.bincount(self.examples[spots], self.weights[spots] * np.repeat(by[mine], self.sizes[here]), len(common))
+            sums = (sums + common) * now[self.block_of]
+            if not least and len(sums) > k:
+                least = np.partition(sums, -k)[-k] - 1e-9
+            hit = np.flatnonzero((sums > 0) & (sums >= least))
+            # Sums of equal numbers in another order are equal.
+            best_at, best = np.r_[best_at, hit], np.r_[best, np.round(sums[hit], 12)]
+            nearest = np.lexsort((best_at, -best))[:k]
+            best_at, best = best_at[nearest], best[nearest]
+            opened, step = upto, step * STEP
         return best_at, np.minimum(best, 1.0)
 
 
 @dataclass
 class Model:
-    numbers: dict[str, int]
-    idf: np.ndarray
+    numbers: dict[bytes, int]
+    factors: np.ndarray  # idf * relevance
     index: Index | None
     base: float
     votes: np.ndarray  # of the calibration's points, rising
     rates: np.ndarray
-    none: float  # rate of examples without any feature
+    none: float  # rate of examples without any word
 
-    def vector(self, counts: Counter, known: _Known) -> tuple[np.ndarray, np.ndarray]:
-        tf: dict[int, int] = {}
-        for word, n in counts.items():
-            for f in known[word]:
-                tf[f] = tf.get(f, 0) + n
-        at = np.array(sorted(tf), np.int64)
-        weights = (1 + np.log(np.array([tf[i] for i in at.tolist()], float))) * self.idf[at]
-        return at, weights / np.sqrt(np.square(weights).sum()) if len(at) else weights
+    def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        weights = (1 + np.log(tf)) * self.factors[at]
+        return weights / np.sqrt(np.square(weights).sum()) if len(at) else weights
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weights = 1 / (1 - cosines + SOFT)
         prior = 1 / (1 + SOFT)
         return float((weights @ self.index.toxic[places] + prior * self.base) / (weights.sum() + prior))
 
-    def scorer(self):
-        """A function from a text to its score and its nearest examples."""
-        known = _Known(self.numbers)
-
-        def score(text: str | None) -> tuple[float, list]:
-            if self.index is None:
-                return self.none, []
-            at, weights = self.vector(_counts(text), known)
-            if not len(at):
-                return self.none, []
-            places, cosines = self.index.nearest(at, weights, NEAREST)
-            if not len(places):
-                return self.none, []
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """The score and the nearest examples of each text."""
+        out: list[tuple[float, list]] = [(self.none, [])] * len(texts)
+        if self.index is None:
+            return out
+        numbered = [_numbered(t, self.numbers) for t in texts]
+        some = [i for i, (at, _) in enumerate(numbered) if len(at)]
+        vectors = [(at, self.vector(at, tf)) for at, tf in (numbered[i] for i in some)]
+        for i, (places, cosines) in zip(some, self.index.nearest_of(vectors, NEAREST), strict=True):
             value = float(np.interp(self.vote(places, cosines), self.votes, self.rates))
-            return value, list(zip(self.index.ids[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True))
+            out[i] = value, list(zip(self.index.ids[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True))
+        return out
+
 
-        return score
+def _numbered(text: str | None, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text, rising, and how often it has each."""
+    known = sorted((numbers[w], n) for w, n in _counts(text).items() if w in numbers)
+    pairs = np.array(known, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,89 +228,92 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(one, "toxicity-examples")
 
 
-def _chosen_features(sample: DataFrame) -> list[str]:
-    """The features that most surely go with the label, at most ``FEATURES``."""
+def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
+    """All words of the examples, numbered."""
 
     def start():
-        def work(text, toxic):
-            counts: dict[tuple[str, int], int] = Counter()
-            for t, y in zip(text, toxic, strict=True):
-                counts.update((f, y) for f in {f for w in _counts(t) for f in _features(w)})
-            return {
-                "feature": [f for f, _ in counts],
-                "n0": [n if not y else 0 for (_, y), n in counts.items()],
-                "n1": [n if y else 0 for (_, y), n in counts.items()],
-            }
+        def work(text):
+            return {"word": list({w for t in text for w in _counts(t)})}
 
         return work
 
-    per_slice = map_slices(sample.select("text", "toxic"), start, "feature string, n0 long, n1 long", rows=4096)
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
-    if not total["n1"] or total["n1"] == total["n"]:
-        return []
-    base = total["n1"] / total["n"]
-    a, b = F.col("n1"), F.col("n0")
-    expected = (a + b) * base
-
-    def part(n: Column, e: Column) -> Column:
-        return F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
-
-    ratio = 2 * (part(a, expected) + part(b, (a + b) * (1 - base)))
-    best = (
-        per_slice.groupBy("feature")
-        .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        .where((a >= LEAST) & (a > ODDS * b))
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= RATIO)
-        .orderBy(F.col("ratio").desc(), "feature")
-        .limit(FEATURES)
-    )
-    return [r["feature"] for r in best.select("feature").collect()]
+    words = map_slices(sample.select("text"), start, "word binary").distinct().toArrow()["word"].to_pylist()
+    return {w: i for i, w in enumerate(sorted(words))}
 
 
-def _document_frequencies(docs: DataFrame, numbers: dict[str, int]) -> np.ndarray:
+def _document_frequencies(docs: DataFrame, numbers: dict[bytes, int]) -> np.ndarray:
     """Over all documents: how many there are, then how many have each feature."""
     size = len(numbers) + 1
 
     def start():
-        known = _Known(numbers)
-
         def work(text):
             counts = np.zeros(size, np.int64)
             counts[0] = len(text)
             for t in text:
-                held = {f for w in _counts(t) for f in known[w]}
-                counts[[f + 1 for f in held]] += 1
+                counts[[numbers[w] + 1 for w in _counts(t) if w in numbers]] += 1
             at = np.flatnonzero(counts)
             return {"feature": at.tolist(), "n": counts[at].tolist()}
 
         return work
 
     slices = map_slices(docs.select("text"), start, "feature int, n long", rows=4096)
+    found = slices.groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # a row per feature, and one
     out = np.zeros(size, np.int64)
-    for row in slices.groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
-        out[row["feature"]] = row["n"]
+    out[found["feature"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
-def _index(rows: list, size: int) -> Index:
-    """The index of the rows, in their order."""
-    lengths = [len(r["at"]) for r in rows]
-    examples = np.repeat(np.arange(len(rows)), lengths)
-    features = np.concatenate([np.array(r["at"], np.int64) for r in rows])
-    weights = np.concatenate([np.array(r["weights"], float) for r in rows])
-    blocks = -(-len(rows) // BLOCK)
-    order = np.lexsort((examples, features, examples // BLOCK))
-    examples, features, weights = examples[order], features[order], weights[order]
-    cells = (examples // BLOCK) * size + features
-    starts = np.searchsorted(cells, np.arange(blocks * size + 1))
-    table = np.empty((blocks, size + 1), np.int64)
-    table[:, :size] = starts[:-1].reshape(blocks, size)
-    table[:, size] = starts[size::size]
-    largest = np.zeros((blocks, size))
-    np.maximum.at(largest, (examples // BLOCK, features), weights)
-    ids, toxic = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows], float)
-    return Index(ids, toxic, table, examples, weights, largest)
+@dataclass
+class Examples:
+    """The examples that have words: the features of all, one example after the other."""
+
+    ids: np.ndarray
+    toxic: np.ndarray
+    part: np.ndarray
+    of: np.ndarray  # the example of each feature in ``at``
+    at: np.ndarray
+    tf: np.ndarray
+
+    def without(self, part: int) -> Examples:
+        keep = self.part != part
+        number = np.cumsum(keep, dtype=np.int32) - 1
+        mine = keep[self.of]
+        return Examples(self.ids[keep], self.toxic[keep], self.part[keep], number[self.of[mine]], self.at[mine], self.tf[mine])
+
+    def model(self, numbers: dict[bytes, int], idf: np.ndarray, base: float) -> Model:
+        """The model of these examples, without a calibration."""
+        held, toxic = (np.bincount(self.at, w, len(numbers)) for w in (None, self.toxic[self.of]))
+        rate = (toxic + PRIOR * base) / (held + PRIOR)
+        factors = idf * (np.maximum(np.log(rate / base), 0.0) + COMMON)
+        empty = np.array([0.0, 1.0])
+        return Model(numbers, factors, _index(self, factors, held), base, empty, np.array([base, base]), base)
+
+
+def _index(rows: Examples, factors: np.ndarray, held: np.ndarray) -> Index:
+    weights = (1 + np.log(rows.tf)) * factors[rows.at]
+    weights /= np.sqrt(np.bincount(rows.of, np.square(weights)))[rows.of]
+    starts = np.searchsorted(rows.of, np.arange(len(rows.ids)))
+
+    def first_by(value: np.ndarray) -> np.ndarray:
+        return rows.at[np.lexsort((rows.at, -value, rows.of))[starts]]
+
+    # Examples that share their most common word, mostly those of a language, and of these the ones
+    # that share their weightiest, stand together, so that bounds are tight.
+    order = np.lexsort((rows.ids, rows.toxic, first_by(weights), first_by(held[rows.at])))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # By block, feature and example.
+    size = len(factors)
+    places = place[rows.of]
+    by = np.argsort((places // BLOCK * size + rows.at) * BLOCK + places % BLOCK)
+    examples, features, weights = places[by].astype(np.uint16), rows.at[by], weights[by].astype(np.float32)
+    keys = examples // BLOCK * np.int64(size) + features
+    begin = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
+    sizes = np.diff(np.r_[begin, len(keys)])
+    blocks, features = keys[begin] // size, keys[begin] % size
+    turn = np.argsort(features, kind="stable")
+    cells = np.searchsorted(features[turn], np.arange(size + 1)).astype(np.int32)
+    return Index(rows.ids[order], rows.toxic[order], examples, weights, cells, blocks[turn].astype(np.uint16), sizes[turn].astype(np.uint16), BLOCK)
 
 
 def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -255,51 +328,64 @@ def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools])
 
 
+def _examples(vectors: DataFrame) -> Examples:
+    rows = vectors.where(F.size("at") > 0).toArrow().sort_by("doc_id").combine_chunks()  # at most EXAMPLES rows
+    lists = {c: rows[c].combine_chunks() for c in ("at", "tf")}
+    sizes = lists["at"].value_lengths().to_numpy()
+    ids, toxic, part = (rows[c].to_numpy() for c in ("doc_id", "toxic", "part"))
+    return Examples(ids, toxic.astype(float), part, np.repeat(np.arange(len(ids), dtype=np.int32), sizes), *(lists[c].flatten().to_numpy() for c in ("at", "tf")))
+
+
+def _votes(examples: Examples, part: int, model: Model) -> list[float]:
+    """The votes of a model of the others on the examples of a part."""
+    mine = np.flatnonzero(examples.part == part)
+    begin, end = np.searchsorted(examples.of, mine), np.searchsorted(examples.of, mine, "right")
+    spans = [slice(*x) for x in zip(begin, end, strict=True)]
+    votes: list[float] = []
+    for at in range(0, len(spans), SLICE):
+        vectors = [(examples.at[x], model.vector(examples.at[x], examples.tf[x])) for x in spans[at : at + SLICE]]
+        votes += [model.vote(*found) for found in model.index.nearest_of(vectors, NEAREST)]
+    return votes
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from ``labels(doc_id, toxic)`` of the folds that are not held out."""
     sample = _sample(docs, labels)
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
     n, positives = counts["n"], counts["n1"]
-    chosen = _chosen_features(sample)
     base = positives / n if n else 0.0
     empty = Model({}, np.empty(0), None, base, np.array([0.0, 1.0]), np.array([base, base]), base)
-    if not chosen:
+    if positives in (0, n):
+        return empty
+    numbers = _vocabulary(sample)
+    if not numbers:
         return empty
-    numbers = {f: i for i, f in enumerate(chosen)}
     df = _document_frequencies(docs, numbers)
     idf = np.log((df[0] + 1) / (df[1:] + 1)) + 1
-    model = Model(numbers, idf, None, base, empty.votes, empty.rates, base)
 
     def start():
-        known = _Known(numbers)
-
-        def work(doc_id, text, toxic):
-            vectors = [model.vector(_counts(t), known) for t in text]
-            return {
-                "doc_id": doc_id,
-                "toxic": toxic,
-                "at": [a.tolist() for a, _ in vectors],
-                "weights": [w.tolist() for _, w in vectors],
-            }
+        def work(doc_id, text, toxic, part):
+            at, tf = zip(*(_numbered(t, numbers) for t in text), strict=True)
+            return {"doc_id": doc_id, "toxic": toxic, "part": part, "at": [a.tolist() for a in at], "tf": [x.tolist() for x in tf]}
 
         return work
 
-    schema = "doc_id long, toxic int, at array<int>, weights array<double>"
-    vectors = map_slices(sample.select("doc_id", "text", "toxic"), start, schema)
-    rows = vectors.where(F.size("at") > 0).collect()  # at most EXAMPLES rows
-    if not rows:
+    dealt = sample.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    examples = _examples(map_slices(dealt, start, "doc_id long, toxic int, part int, at array<int>, tf array<int>"))
+    if not len(examples.ids):
         return empty
-    # Examples that share their weightiest feature stand together, so that bounds are tight.
-    rows.sort(key=lambda r: (r["at"][int(np.argmax(r["weights"]))], r["toxic"], r["doc_id"]))
-    model.index = index = _index(rows, len(numbers))
-    model.none = (positives - index.toxic.sum() + base) / (n - len(index.toxic) + 1)
-    votes, truth = [], []
-    for place, row in enumerate(rows):
-        found, cosines = index.nearest(np.array(row["at"], np.int64), np.array(row["weights"]), NEAREST + 1)
-        others = found != place
-        votes.append(model.vote(found[others][:NEAREST], cosines[others][:NEAREST]))
-        truth.append(index.toxic[place])
-    bins = np.minimum((np.array(votes) * BINS).astype(int), BINS - 1)
+    model = examples.model(numbers, idf, base)
+    model.none = (positives - examples.toxic.sum() + base) / (n - len(examples.ids) + 1)
+    votes, truth = [np.empty(0)], [np.empty(0)]
+    for part in range(PARTS):
+        others = examples.without(part)
+        if len(others.ids):
+            votes.append(_votes(examples, part, others.model(numbers, idf, base)))
+            truth.append(examples.toxic[examples.part == part])
+    votes, truth = np.concatenate(votes), np.concatenate(truth)
+    if not len(votes):
+        return model
+    bins = np.minimum((votes * BINS).astype(int), BINS - 1)
     sizes = np.bincount(bins, minlength=BINS)
     used = np.flatnonzero(sizes)
     means = np.bincount(bins, votes, BINS)[used] / sizes[used]
@@ -314,17 +400,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     ``score`` is the estimated probability of the label, ``evidence`` the nearest examples with
     their cosine and label, the nearest first. A text depends on nothing but its words.
 
-    One row per row. A null, empty or wordless text, or one without any feature, has the rate of
+    One row per row. A null, empty or wordless text, or one without any word of an example, has the rate of
     such examples and no evidence; without examples every score is their base rate, 0 if there are
     none. Equal cosines are ordered as in the index. ``doc_id`` is passed through, null is fold 0;
     other columns are not read.
     """
 
     def start():
-        score = model.scorer()
-
         def work(doc_id, text):
-            scores, evidence = zip(*map(score, text), strict=True)
+            scores, evidence = zip(*model.scores(text), strict=True)
             named = [[{"doc_id": i, "similarity": s, "toxic": int(y)} for i, s, y in e] for e in evidence]
             return {"doc_id": doc_id, "score": list(scores), "evidence": named}
 
@@ -347,8 +431,8 @@ def is_toxic(model: Model, threshold: float = THRESHOLD):
 
     @F.pandas_udf("boolean")
     def verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = model.scorer()
         for part in parts:
-            yield pd.Series([score(t)[0] >= threshold for t in part], dtype=bool)
+            slices = (part[at : at + SLICE].tolist() for at in range(0, len(part), SLICE))
+            yield pd.Series([score >= threshold for texts in slices for score, _ in model.scores(texts)], dtype=bool)
 
     return verdicts

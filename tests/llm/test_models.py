@@ -1,9 +1,11 @@
 """Operators that learn from the corpus: toxicity, quality, suffix tree."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import SMALL, odd_docs, table
@@ -206,3 +208,36 @@ def test_score_edges(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     got = suffixtree.score(alone.withColumn("doc_id", F.lit(held).cast("long"))).first()
     assert (got.n_known, got.train_tokens, got.base_score) == (0, 0, 0.0)
+
+
+def test_toxicity_of_few_labels(spark):
+    """Nine toxic examples are enough for the pipeline's stage, though no word is in five of them."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.keep_civil(spark, docs, SMALL).select("doc_id").collect()}
+    labels = table("labels", SMALL, "doc_id, toxic")
+    gone = Counter(y for i, y in labels if i not in left)
+    assert gone[1] >= 9 and gone[0] <= 2
+
+
+def test_toxicity_indexes_whole_texts(spark, monkeypatch):
+    """Every word of every example is a feature, and blocks in any order find the nearest."""
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "COMMONEST", 50)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    labels = {i for i, _ in table("labels", columns="doc_id, toxic") if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts = {t for i, t in table("documents", columns="doc_id, text") if i in labels}
+    plain = [{w for w in re.split(rb"[^0-9a-z\x80-\xff]+", t.encode().lower()) if w} for t in texts]
+    assert set(model.numbers) == set().union(*plain)
+    index = model.index
+    assert len(index.ids) == sum(map(bool, plain)) and len(index.weights) == sum(map(len, plain))
+    dense = np.zeros((len(index.ids), len(model.numbers)))
+    for row in index.starts:
+        for feature in range(len(model.numbers)):
+            span = slice(row[feature], row[feature + 1])
+            dense[index.examples[span], feature] = index.weights[span]
+    some = [toxicity._numbered(t, model.numbers) for _, t in table("documents", columns="doc_id, text")]
+    vectors = [(at, model.vector(at, tf)) for at, tf in some if len(at)]
+    for (at, weights), (places, cosines) in zip(vectors, index.nearest_of(vectors, 5), strict=True):
+        want = dense[:, at] @ weights
+        assert np.allclose(cosines, np.sort(want)[::-1][:5][: len(cosines)]) and np.allclose(want[places], cosines)
