@@ -71,5 +71,27 @@ from h
 """
 
 
+_TERMS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+with tok as (select doc_id, unnest({_TERMS.format("coalesce(text, '')")}) as term from documents),
+post as (select doc_id, term, count(*)::bigint as tf from tok group by all),
+lens as (select doc_id, sum(tf)::bigint as n from post group by doc_id),
+tot as (select count(*)::bigint as docs, sum(n)::bigint as words from lens),
+w as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from post, tot group by term, docs
+),
+q as (select distinct item_id, unnest({_TERMS.format("coalesce(text, '')")}) as term from benchmark),
+m as (select doc_id, 100 - 90 + (90 * n * docs) // words as m from lens, tot),
+s as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from q join post using (term) join w using (term) join m using (doc_id) group by all
+)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_chat": OP2, "op3_warc": OP3}
+    return {"op1_decontamination": OP1, "op2_chat": OP2, "op3_warc": OP3, "op11_lexical_search": OP11}

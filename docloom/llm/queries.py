@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
+from docloom.llm import chat, decontaminate, lexical, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
 from docloom.llm.common import documents
 from docloom.sources.tables import fresh_path
 
@@ -76,6 +76,10 @@ def op10_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return suffixtree.score(documents(spark, folder))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -88,4 +92,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality": op9_quality,
         "op10_suffix_tree": op10_suffix_tree,
+        "op11_lexical_search": op11_lexical_search,
     }
