@@ -93,5 +93,38 @@ from s where score > 0 qualify rank <= 10
 """
 
 
+OP12 = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+tot as (select lang, sum(len(w))::bigint as n from w group by lang),
+g as (
+  select lang, w[i : i + s - 1] as g
+  from w, (select unnest(range(1, 6)) as s) z, lateral (select unnest(range(1, len(w) - s + 2)) as i) y
+),
+f as (select lang, g, count(*)::bigint as a from g group by all having count(*) >= 100),
+cut as (
+  select c.lang, c.g, c.a, k, l.a as l, r.a as r, n, ((1000::hugeint * c.a * n) // (l.a::hugeint * r.a))::bigint as score
+  from f c join tot using (lang), lateral (select unnest(range(1, len(c.g))) as k) x
+  join f l on l.lang = c.lang and l.g = c.g[1:k] join f r on r.lang = c.lang and r.g = c.g[k + 1 :]
+),
+best as (select * from cut qualify row_number() over (partition by lang, g order by score, k) = 1),
+inside as (
+  select f.lang, f.g[i : i + s - 1] as g, max(a) as longest
+  from f, lateral (select unnest(range(2, len(f.g))) as s) z, lateral (select unnest(range(1, len(f.g) - s + 2)) as i) y
+  group by all
+),
+kept as (
+  select best.*, array_to_string(best.g, ' ') as phrase
+  from best left join inside using (lang, g) where longest is null or 100 * longest < 100 * a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify rank <= 2000
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op2_chat": OP2, "op3_warc": OP3, "op11_lexical_search": OP11}
+    return {"op1_decontamination": OP1, "op2_chat": OP2, "op3_warc": OP3, "op11_lexical_search": OP11, "op12_collocations": OP12}

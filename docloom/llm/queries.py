@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, decontaminate, lexical, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
+from docloom.llm import chat, collocations, decontaminate, lexical, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
 from docloom.llm.common import documents
 from docloom.sources.tables import fresh_path
 
@@ -80,6 +80,10 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(documents(spark, folder), _table(spark, folder, "benchmark"))
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents")).drop("first")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -93,4 +97,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_suffix_tree": op10_suffix_tree,
         "op11_lexical_search": op11_lexical_search,
+        "op12_collocations": op12_collocations,
     }
