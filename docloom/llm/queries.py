@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, collocations, decontaminate, lexical, neardup, pieces, quality, sharding, suffixtree, tokencounts, toxicity, warc
+from docloom.llm import chat, collocations, decontaminate, lexical, neardup, pieces, pii, quality, sharding, suffixtree, tokencounts, toxicity, warc
 from docloom.llm.common import documents
 from docloom.sources.tables import fresh_path
 
@@ -84,6 +84,10 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents")).drop("first")
 
 
+def op13_private(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digests(pii.find_private(documents(spark, folder)))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -98,4 +102,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_suffix_tree": op10_suffix_tree,
         "op11_lexical_search": op11_lexical_search,
         "op12_collocations": op12_collocations,
+        "op13_private": op13_private,
     }
