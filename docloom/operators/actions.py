@@ -37,6 +37,9 @@ def propose_moves(docs: DataFrame, classes: DataFrame | None = None) -> DataFram
     placed = docs.select("doc_id", "source", *([] if classes is not None else ["cls"]))
     if classes is not None:
         placed = placed.join(classes.select("doc_id", "cls"), "doc_id")
+    # A class that is an expression would be evaluated again for each use below: a generator's
+    # output is a value that the optimizer doesn't put back into them.
+    placed = placed.select("doc_id", "source", F.explode(F.array("cls")).alias("cls"))
     return (
         placed.where(~F.col("source").eqNullSafe(F.col("cls")) & F.col("cls").isNotNull())
         .select(*_proposal("move", F.col("cls"), F.concat(F.lit("class "), F.col("cls"))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,20 +11,23 @@ from docloom.functions.text import body, lines, symbol_ratio, tokens
 from docloom.plans.shapes import keyed_join, top_k
 
 
-def build_postings(docs: DataFrame, lengths: bool = False) -> DataFrame:
+def build_postings(docs: DataFrame, lengths: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """``term, doc_id, tf`` and, if asked, ``dl``, the number of tokens of the document.
 
+    Columns named in ``carry`` stand beside each posting, so that a search can restrict documents
+    by them in its scan; in an index, sorted by term, Parquet keeps a few codes for them.
+
     ``doc_id`` is unique. A document's counts depend on its row alone, so they are made there, as
     runs in its sorted tokens, and nothing is shuffled. To write an index use ``write_postings``.
     """
     # The sorted array is a column of its own so that it is made once per document.
-    sorted_tokens = docs.select("doc_id", F.sort_array(tokens("text")).alias("_sorted"))
+    sorted_tokens = docs.select("doc_id", *carry, F.sort_array(tokens("text")).alias("_sorted"))
     starts = F.filter(
         F.transform("_sorted", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
         lambda s: (s["at"] == 0) | (s["term"] != F.get(F.col("_sorted"), s["at"] - 1)),
     )
     counted = sorted_tokens.select(
-        "doc_id", F.size("_sorted").cast("long").alias("dl"), starts.alias("_starts")
+        "doc_id", *carry, F.size("_sorted").cast("long").alias("dl"), starts.alias("_starts")
     )
     runs = F.transform(
         "_starts",
@@ -31,8 +36,8 @@ def build_postings(docs: DataFrame, lengths: bool = False) -> DataFrame:
             (F.coalesce(F.get(F.col("_starts"), i + 1)["at"].cast("long"), F.col("dl")) - s["at"]).alias("tf"),
         ),
     )
-    out = ["term", "doc_id", "tf"] + (["dl"] if lengths else [])
-    return counted.select("doc_id", "dl", F.inline(runs)).select(*out)
+    out = ["term", "doc_id", "tf"] + (["dl"] if lengths else []) + list(carry)
+    return counted.select("doc_id", "dl", *carry, F.inline(runs)).select(*out)
 
 
 def corpus_totals(docs: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ cut up. The looking runs a job on the queries alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import normalised, tokens
 from docloom.operators.conversations import context_query_terms
 from docloom.operators.index import corpus_totals, term_stats
+from docloom.plans.blockmax import best_in_blocks
 from docloom.plans.shapes import few_rows, grid_join, is_small, keyed_join, top_k
 from docloom.plans.vectors import nearest_in_blocks, nearest_in_partitions
 from docloom.sources.tables import written
@@ -77,13 +80,15 @@ def bm25_search(
     totals: DataFrame | None = None,
     few: int = FEW,
     allowed: DataFrame | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """``qid, doc_id, score, rank`` for ``queries(qid, term[, weight])``, weights not negative.
 
     score = sum of weight * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b +
     b dl / avgdl)), rounded to 6; rank by score, then ``doc_id``. Postings built with lengths
-    need no join for ``dl``. ``allowed(doc_id)`` restricts the documents before they are ranked;
-    df, N and the mean length stay those of all documents.
+    need no join for ``dl``. ``where``, a condition on columns that the postings carry, or
+    ``allowed(doc_id)`` restricts the documents before they are ranked; df, N and the mean length
+    stay those of all documents. The condition is met in the scan, ``allowed`` by a join.
 
     The result is exact, but a query is not paired with every document that shares a word with it:
     1. The k best documents by its most telling terms are scored in full. The k-th hit reaches at
@@ -91,10 +96,12 @@ def bm25_search(
     2. A document holding only terms that cannot sum up to that score is never looked at, which
        spares the frequent terms; the others are scored on their telling terms.
     3. Only those that can still reach the score are looked up in the frequent terms.
-    The asked terms, their postings, the weighed terms and the candidates become scratch tables.
-    A set of queries is broadcast if it has at most ``few`` rows and FEW_BYTES; a larger one is
-    joined in cells.
+    So it goes for a set of queries of at most ``few`` rows and FEW_BYTES, which is broadcast. A
+    larger one meets the postings in blocks that are skipped by their largest gains (see
+    ``plans.blockmax``). The asked terms, their postings, the weighed terms and the candidates
+    become scratch tables.
     """
+    may = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     weight = F.col("weight").cast("double") if "weight" in queries.columns else F.lit(1.0)
     asked = written(
         queries.select(qid, "term", weight.alias("weight"))
@@ -114,12 +121,10 @@ def bm25_search(
     total = (corpus_totals(postings=postings) if totals is None else totals).first()
     n_docs, average = float(total["n_docs"]), total["n_tokens"] / max(total["n_docs"], 1)
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / average))
-    met = _with_length(kept, postings).select("term", "doc_id", gain.alias("gain"))
+    met = _with_length(kept, postings).select("term", "doc_id", "dl", gain.alias("gain"), may.alias("_may"))
     if allowed is not None:
         mine = allowed.select("doc_id").distinct().withColumn("_may", F.lit(True))
-        met = met.join(mine, "doc_id", "left").withColumn("_may", F.coalesce("_may", F.lit(False)))
-    else:
-        met = met.withColumn("_may", F.lit(True))
+        met = met.drop("_may").join(mine, "doc_id", "left").withColumn("_may", F.coalesce("_may", F.lit(False)))
     postings_asked = written(met, "query-postings")
     found = postings_asked.where("_may").drop("_may")
     # df counts every document, what can be reached only those that may be hits.
@@ -134,6 +139,11 @@ def bm25_search(
         used = asked.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
         rated = keyed_join(asked, used, "term", "_rows").where("df is not null")
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if not small:
+        heavy = written(rated.where("_hits > 0").select(qid, "term", (F.col("weight") * idf).alias("w")).where("w > 0"), "query-terms")
+        parts = best_in_blocks(found, heavy, k, qid).select(qid, "doc_id", F.round("part", 6).alias("score"))
+        return top_k(parts, [qid], [F.col("score").desc(), F.col("doc_id")], k).select(qid, "doc_id", "score", "rank")
+
     by_worth = Window.partitionBy(qid).orderBy(F.col("_worth").desc(), "term")
     before, onwards = by_worth.rowsBetween(Window.unboundedPreceding, -1), by_worth.rowsBetween(0, Window.unboundedFollowing)
     # _most: what a document can score by this term and the less telling ones.
@@ -152,8 +162,7 @@ def bm25_search(
     )
 
     def meet(terms: DataFrame) -> DataFrame:
-        pairs = found.join(F.broadcast(terms), "term") if small else grid_join(found, terms, "term")
-        return pairs.groupBy(qid, "doc_id").agg(
+        return found.join(F.broadcast(terms), "term").groupBy(qid, "doc_id").agg(
             F.sum(F.col("w") * F.col("gain")).alias("part"), F.max("_need").alias("_need")
         )
 
@@ -185,8 +194,7 @@ def bm25_search(
         "query-candidates",
     )
     others = split.where("_spare").select(qid, "term", "w")
-    # Spared terms stay rows: a query may have any number of them, and of candidates.
-    completed = candidates.join(F.broadcast(others), qid) if small else grid_join(candidates, others, qid)
+    completed = candidates.join(F.broadcast(others), qid)
     looked_up = (
         completed.select(qid, "doc_id", "term", "w")
         .join(found, ["term", "doc_id"])
@@ -202,19 +210,21 @@ def bm25_search(
     )
 
 
+def _meets(lang: str | None, space: str | None, cls: str | None) -> Column:
+    """The given predicates as one condition."""
+    holds = [F.col(c) == F.lit(v) for c, v in (("lang", lang), ("source", space), ("cls", cls)) if v is not None]
+    return reduce(and_, holds, F.lit(True))
+
+
 def metadata_matches(
     docs: DataFrame, lang: str | None = None, space: str | None = None, cls: str | None = None
 ) -> DataFrame:
     """``doc_id`` of the documents that meet the given predicates, which reach the scan."""
-    kept = docs
-    for column, value in (("lang", lang), ("source", space), ("cls", cls)):
-        if value is not None:
-            kept = kept.where(F.col(column) == value)
-    return kept.select("doc_id")
+    return docs.where(_meets(lang, space, cls)).select("doc_id")
 
 
 def metadata_search(
-    docs: DataFrame,
+    docs: DataFrame | None,
     scored: DataFrame | None = None,
     k: int = 10,
     lang: str | None = None,
@@ -226,13 +236,17 @@ def metadata_search(
 ) -> DataFrame:
     """``qid, doc_id, score, rank`` of the best documents among those that meet the predicates.
 
-    ``cls`` needs a ``cls`` column in ``docs``. Either ``scored(qid, doc_id, score)`` is given,
-    with every document that may be a hit, or ``postings`` and ``queries``, which are searched
-    with the predicates met first (see ``bm25_search``), so that nothing is cut before them.
+    Postings that carry the columns of the predicates (``build_postings(carry=...)``) need no
+    ``docs``: the condition is met beside each posting, in the scan. Otherwise ``docs`` has the
+    columns, ``cls`` too if asked for. Either ``postings`` and ``queries`` are given, which are
+    searched with the predicates met first (see ``bm25_search``), so that nothing is cut before
+    them, or ``scored(qid, doc_id, score)`` with every document that may be a hit.
     """
-    matches = metadata_matches(docs, lang, space, cls)
     if scored is None:
-        return bm25_search(postings, queries, k, totals=totals, allowed=matches)
+        if docs is None:
+            return bm25_search(postings, queries, k, totals=totals, where=_meets(lang, space, cls))
+        return bm25_search(postings, queries, k, totals=totals, allowed=metadata_matches(docs, lang, space, cls))
+    matches = metadata_matches(docs, lang, space, cls)
     # A document may be a hit of very many queries, so they meet by how often it is one.
     flagged = matches.withColumn("_kept", F.lit(True))
     known = scored.groupBy("doc_id").agg(F.count("*").alias("_rows")).join(flagged, "doc_id", "left")

@@ -91,13 +91,15 @@ def _passage_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _filtered_hits(spark: SparkSession, folder: str) -> DataFrame:
-    docs = classify.classify_rules(_docs(spark, folder), carry=["lang"])
+    docs = classify.classify_rules(_docs(spark, folder), carry=["lang", "text"])
+    path = fresh_path(spark, "index")
+    write_postings(index.build_postings(docs, lengths=True, carry=["lang", "cls"]), path)
     return search.metadata_search(
-        docs,
+        None,
         k=TOP,
         lang="en",
         cls="general",
-        postings=_postings(spark, folder),
+        postings=read_postings(spark, path),
         queries=_passage_terms(spark, folder),
         totals=_totals(spark, folder),
     )
