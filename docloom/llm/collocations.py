@@ -37,7 +37,7 @@ from docloom.sources.tables import written
 ENDS_PIECE, ENDS_WORD, NO_LANG = ".,;:!?\n\x0b\x0c\r", " \t", "und"
 CUT = bytes(10 if chr(b) in ENDS_PIECE else 32 if chr(b) in ENDS_WORD else b for b in range(256))
 # Bytes of texts that a task works on at once.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 # Odd multipliers of the polynomials over bytes and over words, modulo 2^64, and of the last mixing.
 BYTE_BASE, WORD_BASE = 0x9DDFEA08EB382D69, 0xC3A5C85C97CB3127
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
