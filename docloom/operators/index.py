@@ -40,6 +40,29 @@ def build_postings(docs: DataFrame, lengths: bool = False, carry: Sequence[str]
     return counted.select("doc_id", "dl", *carry, F.inline(runs)).select(*out)
 
 
+def build_positions(docs: DataFrame) -> DataFrame:
+    """``term, doc_id, at``: postings with the positions of the term among the document's tokens, from
+    0 on, in order. Map-only, like ``build_postings``; write them with ``write_postings``."""
+    placed = docs.select(
+        "doc_id", F.sort_array(F.transform(tokens("text"), lambda t, i: F.struct(t.alias("term"), i.alias("at")))).alias("_placed")
+    )
+    first = F.filter(
+        F.transform("_placed", lambda p, i: F.struct(p["term"].alias("term"), i.alias("from"))),
+        lambda s: (s["from"] == 0) | (s["term"] != F.get(F.col("_placed"), s["from"] - 1)["term"]),
+    )
+    starts = placed.select("doc_id", "_placed", first.alias("_starts"))
+    runs = F.transform(
+        "_starts",
+        lambda s, i: F.struct(
+            s["term"].alias("term"),
+            F.slice(
+                "_placed", s["from"] + 1, F.coalesce(F.get(F.col("_starts"), i + 1)["from"], F.size("_placed")) - s["from"]
+            )["at"].alias("at"),
+        ),
+    )
+    return starts.select("doc_id", F.inline(runs)).select("term", "doc_id", "at")
+
+
 def corpus_totals(docs: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """One row ``n_docs, n_tokens`` over the documents that have a token.
 

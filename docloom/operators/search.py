@@ -311,6 +311,58 @@ def phrase_search(docs: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFr
     )
 
 
+def positional_search(positions: DataFrame, phrases: DataFrame, few: int = FEW) -> DataFrame:
+    """``doc_id, item_id`` where the document holds the phrase, token by token, from ``build_positions``.
+
+    No text is read. A phrase's rarest token says where it may start; each other token must then
+    stand at its distance from one and the same start. A phrase with a token that no document has
+    gives nothing, nor does one without tokens. ``item_id`` is unique.
+
+    Phrases and postings asked become scratch tables. Of a large set of phrases, tokens and phrases
+    that very many rows share are met in cells.
+    """
+    spelled = phrases.select("item_id", tokens("text").alias("_tokens")).select(
+        "item_id", F.size("_tokens").alias("_n"), F.posexplode("_tokens").alias("_offset", "term")
+    )
+    needed = written(spelled, "phrase-tokens")
+    small = is_small(needed, few, FEW_BYTES)
+    asked = needed.select("term").distinct()
+    found = written(positions.join(F.broadcast(asked) if small else asked, "term", "left_semi"), "phrase-postings")
+
+    def meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        return left.join(F.broadcast(right), key) if small else grid_join(left, right, key)
+
+    counts = found.groupBy("term").agg(F.count("*").alias("df"))
+    if small:
+        rated = needed.join(counts, "term")
+    else:
+        used = needed.groupBy("term").agg(F.count("*").alias("_rows")).join(counts, "term", "left")
+        rated = keyed_join(needed, used, "term", "_rows").where("df is not null")
+    rare = (
+        rated.groupBy("item_id", "_n")
+        .agg(F.min(F.struct("df", "term", "_offset")).alias("_rare"), F.count("*").alias("_seen"))
+        .where("_seen = _n")
+        .select("item_id", "_n", F.col("_rare.term").alias("term"), F.col("_rare._offset").alias("_from"))
+    )
+    rare = written(rare, "rarest-terms")
+    starts = F.filter(F.transform("at", lambda a: a - F.col("_from")), lambda s: s >= 0)
+    begun = meet(found, rare, "term").select("doc_id", "item_id", "_n", "_from", starts.alias("_starts")).where(F.size("_starts") > 0)
+    begun = written(begun, "phrase-starts")
+    others = needed.select("item_id", "_offset", "term")
+    # The rarest token's other places count like any token.
+    tried = meet(begun.where("_n > 1"), others, "item_id").where("_offset <> _from")
+    shifted = F.transform("at", lambda a: a - F.col("_offset"))
+    kept = (
+        tried.join(found, ["term", "doc_id"])
+        .select("doc_id", "item_id", "_n", F.explode(F.array_intersect("_starts", shifted)).alias("_start"))
+        .groupBy("doc_id", "item_id", "_n", "_start")
+        .agg(F.count("*").alias("_held"))
+        .where("_held = _n - 1")
+    )
+    single = begun.where("_n = 1")
+    return kept.select("doc_id", "item_id").distinct().unionByName(single.select("doc_id", "item_id"))
+
+
 def vector_search(
     embeddings: DataFrame, query_vecs: DataFrame, k: int = 10, few: int = FEW_VECTORS
 ) -> DataFrame:

@@ -109,6 +109,12 @@ def _passage_docs(spark: SparkSession, folder: str) -> DataFrame:
     return search.phrase_search(_docs(spark, folder), read_table(spark, folder, "benchmark"))
 
 
+def _positional(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "positions")
+    write_postings(index.build_positions(_docs(spark, folder)), path)
+    return search.positional_search(read_postings(spark, path), read_table(spark, folder, "benchmark"))
+
+
 def _centroids(spark: SparkSession, folder: str) -> DataFrame:
     """The mean vector of each label, as query vectors."""
     return (
@@ -231,7 +237,7 @@ def registered() -> dict[str, Query]:
         ),
         "bm25_search": _passage_hits,
         "metadata_search": _filtered_hits,
-        "phrase_search": _passage_docs,
+        "phrase_search": _positional,
         "vector_search": lambda s, d: search.vector_search(
             read_table(s, d, "embeddings"), _centroids(s, d), TOP
         ),

@@ -120,3 +120,26 @@ def test_class_is_evaluated_once(spark):
     plan = moves._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("released under") == 1
     assert moves.count() == docs.count()
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_phrases_by_position(spark, few):
+    """Equal to containment of the tokens for repeated words and phrases over line ends."""
+    rng = random.Random(12)
+    words = ["a", "b", "c", "d"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 14))) for _ in range(250)]
+    texts += ["A b\nc. d", "a-b-c", None, "", "...", "a a a a", "the end\nof it", "d " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    asked = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(60)]
+    asked += ["a a", "a a a", "a a a a", "end of", "b, c!", "unseen", "a unseen", "", None, "d " * 299, "d " * 301]
+    phrases = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    plain = lambda t: " " + " ".join("".join(ch if ch.isalnum() else " " for ch in (t or "").lower()).split()) + " "
+    want = sorted((d, i) for d, t in enumerate(texts) for i, p in enumerate(asked) if plain(p).strip() and plain(p) in plain(t))
+    found = search.positional_search(index.build_positions(docs), phrases, few)
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == want
+    assert sorted((r.doc_id, r.item_id) for r in search.phrase_search(docs, phrases).collect()) == want
+
+
+def test_positions_are_in_order(spark):
+    rows = index.build_positions(spark.createDataFrame([(1, "b a b. A"), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert sorted((r.term, r.doc_id, r["at"]) for r in rows) == [("a", 1, [1, 3]), ("b", 1, [0, 2])]
