@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from docloom.functions.text import normalised, tokens
 from docloom.operators.conversations import context_query_terms
 from docloom.operators.index import corpus_totals, term_stats
+from docloom.plans.balls import nearest_in_balls
 from docloom.plans.blockmax import best_in_blocks
 from docloom.plans.shapes import few_rows, grid_join, is_small, keyed_join, top_k
-from docloom.plans.vectors import nearest_in_blocks, nearest_in_partitions
+from docloom.plans.vectors import nearest_in_partitions
 from docloom.sources.tables import written
 
 # Query sets up to this many rows, and this many bytes of text, go to every task.
@@ -370,12 +371,14 @@ def vector_search(
 
     ``embeddings`` is ``vec_id, embedding``, ``query_vecs`` is ``qid, embedding``. Each task
     multiplies its vectors with the queries and passes on its own best ``k`` per query, so pairs
-    are never rows. Zero vectors, and vectors of another length than the query, have no score.
+    are never rows. More than ``few`` queries, or FEW_VECTOR_BYTES of them, stay a table and meet
+    only the balls of vectors that may hold a near one (see ``plans.balls``). Zero vectors, and
+    vectors of another length than the query, have no score. ``qid`` is unique.
     """
     queries = query_vecs.select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
     rows = few_rows(queries, few) if is_small(queries, few, FEW_VECTOR_BYTES) else None
     if rows is None:
-        best = nearest_in_blocks(embeddings, queries, k)
+        best, _ = nearest_in_balls(embeddings, queries, k)
     else:
         best = nearest_in_partitions(embeddings, rows, k, query_vecs.schema["qid"].dataType.simpleString())
     return top_k(best, ["qid"], [F.col("score").desc(), F.col("vec_id")], k)

@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Queries of one pass, in bytes of their vectors.
-QUERY_BYTES = 16 << 20
 # Largest matrix of scores a task makes at once, in bytes; about four of its size are alive.
 SCORE_BYTES = 8 << 20
 
@@ -100,20 +97,3 @@ def nearest_in_partitions(embeddings: DataFrame, queries: list, k: int, qid_type
         .mapInPandas(scan, _schema(qid_type))
     )
 
-
-def nearest_in_blocks(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Candidates for many queries: blocks of queries, one pass over the vectors each.
-
-    The vectors stay where they are read, and are not copied for each block. A block has about
-    QUERY_BYTES of vectors, and one at a time is on its way to the tasks. Runs a job to size the
-    blocks, and one per block to fetch it.
-    """
-    sized = queries.where(F.size("embedding") > 0)
-    total = sized.agg(F.coalesce(F.sum(F.size("embedding").cast("long") * 8), F.lit(0))).first()[0]
-    blocks = -(-total // QUERY_BYTES) or 1
-    qid_type = queries.schema["qid"].dataType.simpleString()
-    passes = []
-    for block in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).collect()
-        passes.append(nearest_in_partitions(embeddings, rows, k, qid_type))
-    return reduce(DataFrame.unionByName, passes)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_scale_paths import brute_bm25, corpus
 
 from docloom.operators import actions, classify, index, search
-from docloom.plans import blockmax
+from docloom.plans import balls, blockmax
 from docloom.plans.blockmax import Queries
 
 
@@ -143,3 +143,32 @@ def test_phrases_by_position(spark, few):
 def test_positions_are_in_order(spark):
     rows = index.build_positions(spark.createDataFrame([(1, "b a b. A"), (2, None), (3, "")], "doc_id long, text string")).collect()
     assert sorted((r.term, r.doc_id, r["at"]) for r in rows) == [("a", 1, [1, 3]), ("b", 1, [0, 2])]
+
+
+@pytest.mark.parametrize("cell", [4 << 20, 2000])
+def test_vectors_in_balls(spark, monkeypatch, cell):
+    """Equal to all cosines; of clustered vectors most balls are not met."""
+    monkeypatch.setattr(balls, "CELL_BYTES", cell)
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(12, 8))
+    data = (middles[rng.integers(0, 12, 600)] + 0.05 * rng.normal(size=(600, 8))).round(2)
+    asked = (middles[rng.integers(0, 12, 50)] + 0.05 * rng.normal(size=(50, 8))).round(2)
+    data[100:110] = data[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(data)] + [(900, [0.0] * 8), (901, [1.0, 2.0]), (902, None), (903, [])]
+    queries = [(i, v.tolist()) for i, v in enumerate(asked)] + [(90, [0.0] * 8), (91, [2.0, 1.0]), (92, [1.0] * 5), (93, None)]
+    frames = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4), spark.createDataFrame(queries, "qid bigint, embedding array<double>")
+    got = search.vector_search(*frames, 5, few=0).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    cosines = np.round(unit(asked) @ unit(data).T, 6)
+    want = [(q, i, int(v)) for q in range(50) for i, v in enumerate(np.lexsort((np.arange(600), -cosines[q]))[:5], 1)] + [(91, 1, 901)]
+    assert sorted((r.qid, r["rank"], r.vec_id) for r in got) == want
+    _, met = balls.nearest_in_balls(*frames, 5)
+    assert met.count() < 0.3 * 50 * balls.BALLS
+
+
+def test_no_vectors(spark):
+    none = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0])], "qid bigint, embedding array<float>")
+    assert search.vector_search(none, asked, 5, few=-1).count() == 0
+    some = spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>")
+    assert search.vector_search(some, asked.limit(0), 5, few=-1).count() == 0

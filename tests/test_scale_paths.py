@@ -103,9 +103,8 @@ def test_every_context_term_is_searched(spark):
     assert len(fewer) == 6 and all(r.term != "the" for r in fewer)
 
 
-@pytest.mark.parametrize("query_bytes,score_bytes", [(6 * 8 * 7, 1 << 20), (1 << 20, 300)])
-def test_nearest_vectors_in_blocks(spark, monkeypatch, query_bytes, score_bytes):
-    monkeypatch.setattr(vectors, "QUERY_BYTES", query_bytes)
+@pytest.mark.parametrize("score_bytes", [1 << 20, 300])
+def test_nearest_vectors_in_blocks(spark, monkeypatch, score_bytes):
     random_ = np.random.default_rng(8)
     left, right = random_.normal(size=(150, 6)).round(1), random_.normal(size=(40, 6)).round(1)
     best = vectors._Best(list(range(40)), list(right), 5)
