@@ -8,7 +8,7 @@ fingerprints, so none is missed. Longer n-grams are counted only where their par
 
 The last pass meets the texts again and materialises no other n-grams than those. In a task each
 occurrence is compared with the words of the first one of its fingerprint; between tasks phrases
-are grouped by their own text, with a pointer to their first occurrence. So two phrases of one
+are grouped by their own text, with a pointer to the first document. So two phrases of one
 fingerprint are never added up, and counts are exact.
 
 What tells tasks which fingerprints are frequent is a bitmap of bounded size. A foreign
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 
@@ -69,15 +68,15 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _entries(text: str, most: int, block: int) -> Iterator[tuple[bytes, int, int]]:
-    """A text in blocks: bytes, how many of them are the block's own, number of its first word.
+def _entries(text: str, most: int, block: int) -> Iterator[tuple[bytes, int]]:
+    """A text in blocks: bytes, and how many of them are the block's own.
 
     A block ends with a piece if it can, else with a word, and then has the next ``most - 1``
     words of the piece behind its own, in which no n-gram of the block starts.
     """
     data = text.encode().lower().translate(CUT)
     following = re.compile(rb"(?: *[^ \n]+){1,%d}" % max(1, most - 1))
-    at = first = 0
+    at = 0
     while at < len(data) or not at:
         end, tail = len(data), b""
         if end - at > block:
@@ -89,9 +88,7 @@ def _entries(text: str, most: int, block: int) -> Iterator[tuple[bytes, int, int
                     end = far.start() if far else len(data)
                 more = following.match(data, end)
                 tail = more[0] if more else b""
-        own = data[at:end]
-        yield own + tail, len(own), first
-        first += len(own.split())
+        yield data[at:end] + tail, end - at
         at = max(end, 1)
 
 
@@ -113,10 +110,9 @@ class _Words:
         self.entry = np.searchsorted(begins, starts, "right") - 1
         own = np.array([e[3] for e in entries])
         self.own = starts - begins[self.entry] < own[self.entry]
-        self.first = np.searchsorted(starts, begins)
-        self.lang = np.array([e[1] for e in entries], dtype=object)
-        seeds = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(self.lang)}
-        self.seed = np.array([seeds[x] for x in self.lang], dtype=np.uint64)[self.entry]
+        langs = [e[1] for e in entries]
+        seeds = {x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in set(langs)}
+        self.seed = np.array([seeds[x] for x in langs], dtype=np.uint64)[self.entry]
         sums, back = _prefixes(BYTE_BASE, data.astype(np.uint64) + np.uint64(1))
         words = _mixed((sums[ends] - sums[starts]) * back[starts])
         self.sums, self.back = _prefixes(WORD_BASE, words)
@@ -134,8 +130,8 @@ def _blocks(batches: Iterable[pa.RecordBatch], most: int, bits: int, block: int)
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             for doc_id, lang, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
-                for data, own, first in _entries(text or "", most, block):
-                    held.append((doc_id, NO_LANG if lang is None else lang, data, own, first))
+                for data, own in _entries(text or "", most, block):
+                    held.append((doc_id, NO_LANG if lang is None else lang, data, own))
                     size += len(data)
                     if size >= block:
                         yield _Words(held, bits)
@@ -186,25 +182,22 @@ def _bitmap(frequent: DataFrame):
     return frequent.sparkSession.sparkContext.broadcast(bitmap)
 
 
-def _phrases(words: _Words, n: int, bitmap: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> dict[tuple, list]:
-    """Phrase and language to its count and first word, of those ``n`` words long that the bitmap has."""
+def _phrases(words: _Words, n: int, bitmap: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the phrases of ``n`` words that the bitmap has, each different one once, and counts.
+
+    Occurrences that have other words, or another language, than the first of their fingerprint
+    stand for themselves.
+    """
     found, ok = words.grams(n)
     at = np.flatnonzero(ok & _has(bitmap, found))
     _, first, group = np.unique(found[at], return_index=True, return_inverse=True)
     shown = at[first]
-    # Occurrences that have other words, or another language, than the first of their fingerprint.
     same = words.seed[at] == words.seed[shown][group]
     for i in range(n):
         same &= ids[at + i] == ids[shown + i][group]
+    other = at[~same]
     counts = np.bincount(group[same], minlength=len(shown))
-
-    def phrase(w: int) -> tuple:
-        return words.lang[words.entry[w]], b" ".join(texts[w : w + n]).decode()
-
-    out = {phrase(w): [c, w] for w, c in zip(shown.tolist(), counts.tolist(), strict=True)}
-    for w in at[~same].tolist():
-        out.setdefault(phrase(w), [0, w])[0] += 1
-    return out
+    return np.r_[shown, other], np.r_[counts, np.ones(len(other), dtype=np.int64)]
 
 
 def _materialised(docs: DataFrame, known, most: int, bits: int, block: int) -> DataFrame:
@@ -213,7 +206,7 @@ def _materialised(docs: DataFrame, known, most: int, bits: int, block: int) -> D
     A row of size 0 has the number of words of a language.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = StructType.fromDDL(f"lang string, size int, phrase string, n long, doc_id {kind}, word long")
+    fields = StructType.fromDDL(f"lang string, size int, phrase string, n long, first {kind}")
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,18 +214,23 @@ def _materialised(docs: DataFrame, known, most: int, bits: int, block: int) -> D
             texts = words.joined.split()
             number = {w: i for i, w in enumerate(dict.fromkeys(texts))}
             ids = np.fromiter(map(number.__getitem__, texts), dtype=np.int64, count=len(texts))
-            rows = [(lang, 0, "", n, None, None) for lang, n in Counter(words.lang[words.entry[words.own]]).items()]
+            doc_ids, langs = (pa.array([e[i] for e in words.entries], type=t) for i, t in ((0, arrow[4].type), (1, arrow[0].type)))
+
+            def batch(size: int, entries: np.ndarray, phrases: list, counts: np.ndarray, docs: pa.Array) -> pa.RecordBatch:
+                spelled = pa.array(phrases, type=pa.binary()).cast(pa.string())
+                sizes = pa.array(np.full(len(counts), size, dtype=np.int32))
+                return pa.RecordBatch.from_arrays([langs.take(pa.array(entries)), sizes, spelled, pa.array(counts), docs], schema=arrow)
+
+            entries = np.arange(len(words.entries))
+            counts = np.bincount(words.entry[words.own], minlength=len(entries))
+            yield batch(0, entries, [b""] * len(entries), counts, pa.nulls(len(entries), type=arrow[4].type))
             for n in range(1, most + 1):
-                for (lang, phrase), (count, w) in _phrases(words, n, known.value, ids, texts).items():
-                    e = words.entry[w]
-                    doc_id, _, _, _, first = words.entries[e]
-                    rows.append((lang, n, phrase, count, doc_id, int(first + w - words.first[e])))
-            columns = zip(*rows, strict=True) if rows else [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-    return docs.mapInArrow(run, fields).groupBy("lang", "size", "phrase").agg(
-        F.sum("n").alias("n"), F.min(F.struct("doc_id", "word")).alias("first")
-    )
+                starts, counts = _phrases(words, n, known.value, ids)
+                phrases = [b" ".join(texts[w : w + n]) for w in starts.tolist()]
+                yield batch(n, words.entry[starts], phrases, counts, doc_ids.take(pa.array(words.entry[starts])))
+
+    # Sums and minima of numbers, which Spark keeps in a hash table without sorting phrases.
+    return docs.mapInArrow(run, fields).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
 def count_phrases(docs: DataFrame, most: int = 5, least: int = 100, bits: int = 64, block: int = BLOCK) -> DataFrame:
@@ -305,10 +303,10 @@ def collocations(docs: DataFrame, most: int = 5, least: int = 100, share: int =
     texts of a language. It goes if a longer candidate that holds its words in a row occurs at
     least ``share`` percent as often. The ``top`` of each language are ranked by score, ``a`` and
     phrase. ``l`` and ``r`` are the counts of the parts of its lowest-scoring cut, ``n`` all words
-    of the language, ``first`` the smallest document with it and the number of its word there.
+    of the language, ``first`` the smallest ``doc_id`` of a document with it.
 
     A null text is empty; a null language is ``und``, together with texts that say so; a null id
-    is the smallest. Repeated rows count each. Texts without words give nothing; no rows give
+    is nowhere the smallest. Repeated rows count each. Texts without words give nothing; no rows give
     none. Other columns are not read.
     """
     phrases = count_phrases(docs, most, least, bits)
