@@ -99,7 +99,8 @@ def apply_actions(docs: DataFrame, gated: DataFrame) -> DataFrame:
     """The documents after the runnable actions, with ``tags``; the input is left alone.
 
     Delete beats move; of several moves the smallest ``action_id`` counts. All actions of a
-    document become one row first, so the documents are joined once.
+    document become one row first, so the documents are joined once. Documents in buckets of
+    ``doc_id`` (``sources.tables.write_bucketed``) are not moved for it, only the actions are.
     """
     runnable = gated.where(F.col("status").isin(*RUNNABLE))
     # Equal tags of a document merge before they are gathered.

@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import body, lines, symbol_ratio
 from docloom.plans.shapes import block_of
+from docloom.sources.tables import written
 
 # Pages of one assembled row.
 PART_PAGES = 65_536
+# Bytes of the pages in one assembled row, but for its last page.
+PART_BYTES = 64 << 20
 # Page numbers checked together.
 GAP_BLOCK = 4096
 
 
+def _best_pages(pages: DataFrame, *carry: str) -> DataFrame:
+    """``doc_id, carry, page_no, text``: of several rows for a page the longest text, then the smallest.
+
+    A minimum is combined before the shuffle, so copies of one page don't meet in one task.
+    """
+    best = pages.groupBy("doc_id", *carry, "page_no").agg(
+        F.min(F.struct((-F.length(body("text"))).alias("neg"), body("text").alias("text"))).alias("_best")
+    )
+    return best.select("doc_id", *carry, "page_no", F.col("_best.text").alias("text"))
+
+
 def assemble_pages(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     """``doc_id, part, n_pages, text`` from ``doc_id, page_no, text``.
 
@@ -21,19 +35,9 @@ def assemble_pages(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     and stretch of ``part_pages`` page numbers, so no row grows without bound; ``part`` is
     ``page_no div part_pages``. ``n_pages`` counts the pages of the whole document.
     """
-    text = body("text")
-    cut = pages.select(
-        "doc_id", F.expr(f"cast(page_no div {part_pages} as bigint)").alias("part"), "page_no", text.alias("text")
-    )
-    # A minimum, unlike a ranking window, is combined before the shuffle. The pages are dealt out
-    # by (doc_id, part), which serves the grouping by page and by part alike.
-    best = (
-        cut.repartition("doc_id", "part")
-        .groupBy("doc_id", "part", "page_no")
-        .agg(F.min(F.struct((-F.length("text")).alias("neg"), "text")).alias("_best"))
-    )
-    parts = best.groupBy("doc_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("page_no", F.col("_best.text").alias("text")))).alias("_pages")
+    cut = pages.withColumn("part", F.expr(f"cast(page_no div {part_pages} as bigint)"))
+    parts = _best_pages(cut, "part").groupBy("doc_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_pages")
     )
     # Page numbers without texts: counted by part, then over the few parts of a document.
     numbers = cut.select("doc_id", "part", "page_no").distinct().groupBy("doc_id", "part").agg(F.count("*").alias("_n"))
@@ -43,6 +47,40 @@ def assemble_pages(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
     )
 
 
+def assemble_pages_by_size(pages: DataFrame, part_bytes: int = PART_BYTES, block: int = GAP_BLOCK) -> DataFrame:
+    """``doc_id, part, first_page, n_pages, text``: like ``assemble_pages``, with parts bounded in bytes.
+
+    A page belongs to the part that holds its first byte: ``part`` is the number of bytes in the
+    document's pages before it, ``div part_bytes``. So a row has at most ``part_bytes`` and one
+    page, pages of any size. ``n_pages`` counts the pages of the part. Pages with equal parts stay
+    in the order of their numbers; joining a document's parts by line ends gives the document.
+
+    Sizes are summed without texts: within blocks of page numbers, and over the sums of a
+    document's blocks. The best pages become a scratch table, as they are read twice.
+    """
+    best = written(_best_pages(pages), "best-pages")
+    sizes = best.select("doc_id", "page_no", block_of("page_no", block).alias("_block"), F.octet_length("text").cast("long").alias("_size"))
+    blocks = sizes.groupBy("doc_id", "_block").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("doc_id", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("doc_id", "_block").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        sizes.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+        .join(blocks, ["doc_id", "_block"])
+        .select("doc_id", "page_no", F.expr(f"(_before + _inside) div {part_bytes}").alias("part"))
+    )
+    parts = best.join(placed, ["doc_id", "page_no"]).groupBy("doc_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_pages")
+    )
+    return parts.select(
+        "doc_id",
+        "part",
+        F.get("_pages", F.lit(0))["page_no"].alias("first_page"),
+        F.size("_pages").cast("long").alias("n_pages"),
+        F.array_join(F.col("_pages.text"), "\n").alias("text"),
+    )
+
+
 def missing_pages(pages: DataFrame, block: int = GAP_BLOCK) -> DataFrame:
     """``doc_id, page_no`` of the gaps between page 0 and the last page.
 

@@ -196,6 +196,7 @@ def statements() -> dict[str, str]:
         " as ctx from conversations",
         "context_query_terms": f"with {_POST}, {_SIZES}, {_ASKED} select * from cq",
         "build_postings": f"with {_POST} select term, doc_id, tf from post",
+        "index_segments": f"with {_POST} select term, doc_id, tf from post where doc_id % 11 <> 0",
         "term_stats": f"with {_POST}, {_SIZES} select term, df, cf, round(ln(n::double / df), 6) as idf from df, tot",
         "keywords_topk": f"with {_KEY} select doc_id, term, weight, rank from kw where rank <= 5",
         "doc_profile": f"select doc_id, length(text) as n_chars, len({_tokens('text')}) as n_words,"
@@ -263,6 +264,7 @@ def statements() -> dict[str, str]:
         f" '{EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g'), '{IP}', '[IP]', 'g') as text"
         f" from (select doc_id, {masked} as a from documents)",
         "route_external": f"with {_ROUTED} select doc_id, level, decision from routed",
+        "route_and_release_stream": f"with {_ROUTED} select doc_id, level, decision from routed",
         "route_external_stream": f"with {_ROUTED} select doc_id, level, decision from routed",
         "egress_audit": f"with {_ROUTED} select case when grouping(source) = 1 then '*' else source end as source,"
         " case when grouping(decision) = 1 then '*' else decision end as decision, count(*) as n"
@@ -282,6 +284,11 @@ def statements() -> dict[str, str]:
         " select doc_id, (page_no // 5)::bigint as part, any_value(n) as n_pages,"
         " string_agg(text, chr(10) order by page_no) as text"
         " from p join (select doc_id, count(*) as n from p group by doc_id) using (doc_id) group by doc_id, part",
+        "assemble_pages_by_size": f"with p as (select doc_id, {_LINES} from documents),"
+        " z as (select *, coalesce(sum(strlen(text)) over (partition by doc_id order by page_no"
+        " rows between unbounded preceding and 1 preceding), 0) // 2000 as part from p)"
+        " select doc_id, part::bigint as part, min(page_no)::int as first_page, count(*) as n_pages,"
+        " string_agg(text, chr(10) order by page_no) as text from z group by doc_id, part",
         "missing_pages": f"with p as (select doc_id, {_LINES} from documents),"
         f" f as (select * from p where coalesce({_symbols('text')}, 0) <= 0.06),"
         " m as (select doc_id, unnest(range(max(page_no) + 1)) as page_no from f group by doc_id)"

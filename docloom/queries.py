@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import lines, symbol_ratio, tokens
 from docloom.operators import actions, classify, conversations, index, scanner, search, sensitive
-from docloom.sources.tables import fresh_path, read_postings, read_table, write_postings, written
+from docloom.sources.segments import merge_segments, read_segments, write_segment
+from docloom.sources.tables import fresh_path, read_postings, read_table, write_bucketed, write_postings, written
 from docloom.streaming import routing
 
 # Parameters of the registered queries.
@@ -17,6 +18,7 @@ ALL_TERMS, ANY_TERMS, NONE_TERMS = ["the", "of"], ["tion", "thon", "ing"], ["the
 TOP = 10
 # Small, so that conversations and documents of the tables come in several parts.
 PART_TURNS, PART_PAGES = 3, 5
+PART_BYTES = 2_000
 GATE_FLOOR = 0.5
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +154,24 @@ def _gated(spark: SparkSession, folder: str) -> DataFrame:
     return actions.gate_actions(proposals, answers)
 
 
+def _applied(spark: SparkSession, folder: str) -> DataFrame:
+    docs = write_bucketed(read_table(spark, folder, "documents"), "doc_id", fresh_path(spark, "documents"))
+    return actions.apply_actions(docs, _gated(spark, folder))
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents arrive in two segments, some in an old version first; some are deleted; then a merge."""
+    docs = _docs(spark, folder)
+    late, changed, deleted = (F.col("doc_id") % n == r for n, r in ((7, 1), (5, 0), (11, 0)))
+    old = F.when(changed, F.substring("text", 1, 100)).otherwise(F.col("text"))
+    path, merged = fresh_path(spark, "segments"), fresh_path(spark, "segments")
+    write_segment(path, 0, index.build_postings(docs.where(~late).withColumn("text", old)))
+    write_segment(path, 1, index.build_postings(docs.where(late | changed)), docs.where(changed))
+    write_segment(path, 2, index.build_postings(docs.limit(0)), docs.where(deleted))
+    merge_segments(spark, path, merged)
+    return read_segments(spark, merged)
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that have labels: all that training and measuring need to tokenise."""
     return _docs(spark, folder).join(_labels(spark, folder).select("doc_id"), "doc_id", "left_semi")
@@ -210,6 +230,17 @@ def _routed_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(decisions.schema).parquet(out)
 
 
+def _released_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the reviewer's answers arrive as two streams."""
+    stream = routing.document_stream(spark, folder, _docs(spark, folder).schema, "documents.parquet")
+    labels = routing.document_stream(spark, folder, _labels(spark, folder).schema, "labels.parquet")
+    answers = labels.select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("approved"))
+    told = routing.route_and_release_stream(stream, answers)
+    out = fresh_path(spark, "decisions")
+    routing.start_routing(told, out, fresh_path(spark, "offsets")).awaitTermination()
+    return routing.last_decisions(spark.read.schema(told.schema).parquet(out))
+
+
 def _contextual(spark: SparkSession, folder: str) -> DataFrame:
     return search.contextual_search(
         _turns(spark, folder), _index(spark, folder), totals=_totals(spark, folder)
@@ -229,6 +260,7 @@ def registered() -> dict[str, Query]:
         "context_window": lambda s, d: conversations.context_window(_turns(s, d)),
         "context_query_terms": _query_terms,
         "build_postings": lambda s, d: index.build_postings(_docs(s, d)),
+        "index_segments": _segments,
         "term_stats": lambda s, d: index.term_stats(_postings(s, d), _totals(s, d)),
         "keywords_topk": lambda s, d: _keywords(s, d, 5),
         "doc_profile": lambda s, d: index.doc_profile(_docs(s, d)),
@@ -267,6 +299,7 @@ def registered() -> dict[str, Query]:
         ),
         "route_external": lambda s, d: sensitive.route_external(_docs(s, d), _confirmations(s, d)),
         "route_external_stream": _routed_stream,
+        "route_and_release_stream": _released_stream,
         "egress_audit": _egress,
         "propose_moves": lambda s, d: actions.propose_moves(
             classify.classify_rules(_docs(s, d), carry=["source"])
@@ -274,9 +307,10 @@ def registered() -> dict[str, Query]:
         "propose_tags": lambda s, d: actions.propose_tags(_keywords(s, d, 1)),
         "propose_dedup": lambda s, d: actions.propose_dedup(_docs(s, d)),
         "gate_actions": _gated,
-        "apply_actions": lambda s, d: actions.apply_actions(_docs(s, d), _gated(s, d)),
+        "apply_actions": _applied,
         "action_summary": lambda s, d: actions.action_summary(_gated(s, d)),
         "assemble_pages": lambda s, d: scanner.assemble_pages(_pages(s, d), PART_PAGES),
+        "assemble_pages_by_size": lambda s, d: scanner.assemble_pages_by_size(_pages(s, d), PART_BYTES),
         "missing_pages": lambda s, d: scanner.missing_pages(_found_pages(s, d)),
         "clean_ocr_text": lambda s, d: scanner.clean_ocr_text(_docs(s, d)),
     }

@@ -51,7 +51,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_bucketed(df: DataFrame, key: str, path: str, name: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table at ``path`` in buckets of ``key``, sorted by it: joins on the key shuffle the
+    other side only. ``name`` is the table's in the session's catalog, one of its own by default;
+    ``buckets`` are as many as shuffle partitions, so that both sides agree without more ado."""
+    spark = df.sparkSession
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartition(buckets, key)
+        .write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).mode("errorifexists").saveAsTable(name)
+    )
+    return spark.table(name)
+
+
+def write_postings(postings: DataFrame, path: str, partitions: int | None = None, mode: str = "overwrite") -> None:
     """Sink for a search index.
 
     Ranges over (term, doc_id) keep a term's rows together, so row groups are skipped by term,
@@ -63,7 +77,7 @@ def write_postings(postings: DataFrame, path: str, partitions: int | None = None
         if partitions
         else postings.repartitionByRange(*keys)
     )
-    ranged.sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    ranged.sortWithinPartitions(*keys).write.mode(mode).parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
