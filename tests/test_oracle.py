@@ -9,7 +9,11 @@ from docloom.queries import registered
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(registered()))
+# Trained by passes over the rows: tested against a plain version in test_linear.py.
+WITHOUT_SQL = {"linear_gate"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registered()) - WITHOUT_SQL))
 def test_same_as_sql(spark, name):
     assert spark_rows(registered()[name](spark, FOLDER)) == oracle_rows(
         FOLDER, oracle.statements()[name]
@@ -21,4 +25,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(registered()) == set(oracle.statements())
+    assert set(registered()) - WITHOUT_SQL == set(oracle.statements())
