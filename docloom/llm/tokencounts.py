@@ -30,8 +30,10 @@ COUNTS = StructType(
         StructField("n_tokens", LongType()),
     ]
 )
-# Words whose counts a task remembers.
-TABLE = 500_000
+# Bytes of the words whose counts a task remembers, and words it looks up at once.
+TABLE_BYTES, WORDS = 56 << 20, 20_000
+# What a remembered word takes besides its letters, about.
+ENTRY = 100
 
 
 def version_digest(tokenizer: bytes) -> str:
@@ -93,15 +95,38 @@ def _counter(tokenizer: bytes):
     if not drops_space(tokenizer):
         return lengths
     table: dict[str, int] = {"": 0}
+    held = 0
 
-    def count(texts: list[str]) -> list[int]:
-        worded = [t.split(" ") for t in texts]
-        unseen = list({w for words in worded for w in words if w not in table})
-        if len(table) + len(unseen) > TABLE:
+    def learn(words: list[str]) -> None:
+        nonlocal held
+        unseen = list({w for w in words if w not in table})
+        held += sum(map(len, unseen)) + ENTRY * len(unseen)
+        if held > TABLE_BYTES:
             table.clear()
-            unseen = list({w for words in worded for w in words})
+            unseen = list(set(words))
+            held = sum(map(len, unseen)) + ENTRY * len(unseen)
         table.update(zip(unseen, lengths(unseen), strict=True))
-        return [sum(map(table.__getitem__, words)) for words in worded]
+
+    def count(texts: list[str]) -> list[int]:
+        totals = [0] * len(texts)
+        run: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def add_up() -> None:
+            learn([w for _, words in run for w in words])
+            for i, words in run:
+                totals[i] += sum(map(table.__getitem__, words))
+
+        for i, text in enumerate(texts):
+            words = text.split(" ")
+            for at in range(0, len(words), WORDS):
+                run.append((i, words[at : at + WORDS]))
+                size += len(run[-1][1])
+                if size >= WORDS:
+                    add_up()
+                    run, size = [], 0
+        add_up()
+        return totals
 
     return count
 

@@ -192,3 +192,16 @@ def test_sharding_of_rows(spark, tmp_path):
     table_ = sharding.fill_table(queries.SHARDS)
     for (doc_id,) in table("documents", columns="doc_id"):
         assert got[doc_id] == queries.SHARDS[table_[int(hashlib.md5(str(doc_id).encode()).hexdigest()[:15], 16) % sharding.SLOTS]]
+
+
+@pytest.mark.parametrize("held,run", [(24 << 20, 20_000), (900, 7)])
+def test_token_counter_forgets_and_counts_long_texts_in_runs(monkeypatch, held, run):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokencounts, "TABLE_BYTES", held)
+    monkeypatch.setattr(tokencounts, "WORDS", run)
+    model = pieces.read_model(public_tokenizers.path(queries.WORDS))
+    texts = ["", "one", "one two " * 40 + "three", *(f"w{i} x{i % 3} one" for i in range(30)), ""]
+    texts = [t.strip() for t in texts]
+    library = Tokenizer.from_buffer(model)
+    assert tokencounts._counter(model)(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
