@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -83,6 +84,8 @@ def normalised(text: Column, tokenizer: bytes) -> Column:
 
 def _counter(tokenizer: bytes):
     """A function from a list of normalised texts to their numbers of tokens."""
+    # One thread: tasks are what runs side by side, and each thread of a pool holds memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_buffer(tokenizer)
