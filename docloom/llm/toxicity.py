@@ -5,17 +5,22 @@ word weighs (1 + log tf) * idf * relevance, with document frequencies over all d
 relevance is the log of the smoothed rate of the label among examples with the word over the base
 rate, none below 0, plus ``COMMON``: no count decides whether a word exists, and a text without any
 telling word is compared by plain TF-IDF. A text's nearest examples by exact cosine are found in an
-inverted index cut in blocks of examples: the largest weight of each feature in each block bounds
-what the block's examples can reach, blocks are opened from the highest bound down, and the search
-ends where no bound reaches the k-th best. The examples vote, the nearer the more, and a monotone
-table turns votes into scores. It is made by folds of the examples, each judged by a relevance and
-an index of the others.
-
-What goes to the tasks is bounded by the texts of at most ``EXAMPLES`` examples, not by the data.
+inverted index cut in blocks of examples. What the commonest words add is one matrix product for a
+slice of texts. Of the others the telling words stand in the index, and their largest weight in each
+block bounds what they add; the rest add at most the product of their lengths in the text and in the
+example. Blocks are opened from the highest bound down, and of their examples only those whose own
+bound reaches the k-th best so far are multiplied in full. The examples vote, the nearer the more, and
+a monotone table turns votes into scores. It is made by folds of the examples, each judged by a
+relevance and an index of the others.
+
+Indexes are built in tasks, one for each fold and one of all examples. The driver sees the words of
+the examples, their document frequencies, the votes of the folds, and the last index on its way to
+the tasks: all bounded by the texts of at most ``EXAMPLES`` examples, not by the data.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -23,7 +28,9 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import SLICE, WORD_BYTES, fold, map_slices
@@ -33,10 +40,11 @@ from docloom.sources.tables import written
 EXAMPLES = 16_384
 # Examples of the base rate that a word's rate is smoothed by, and the relevance of any word.
 PRIOR, COMMON = 8.0, 0.02
+# So many of the commonest words are compared for a whole slice of texts by one product; of the others
+# those of this relevance or more stand in the index. No result depends on them.
+COMMONEST, TELLING = 1024, 0.05
 NEAREST = 9
-BLOCK = 1024
-# So many of the most common features are compared for a whole slice of texts by one product.
-COMMONEST = 256
+BLOCK = 2048
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 # A vote at similarity s weighs 1 / (1 - s + SOFT); one vote of the base rate stands at s = 0.
@@ -44,8 +52,12 @@ SOFT = 0.05
 BINS = 20
 # Parts of the examples that are judged by the others for the calibration.
 PARTS = 4
-# Blocks opened at first; each further step opens that many times more.
-STEP = 4
+# Blocks opened and examples multiplied at first; each further step takes that many times more.
+STEP, FIRST = 4, 16
+# Examples whose largest sum stands for all in the first bound.
+RUN = 16
+# Sums in another order and in single precision differ by less.
+SLACK = 1e-5
 
 
 def _counts(text: str | None) -> Counter:
@@ -60,11 +72,16 @@ def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Examples in blocks: postings by (block, feature), and the largest weight of each such cell.
-    Only cells that have postings are held, by (feature, block)."""
+    """Examples in blocks, with all words of each. Telling words that are none of the commonest have
+    postings by (block, feature), and the largest weight of each such cell; only cells that have
+    postings are held, by (feature, block)."""
 
     ids: np.ndarray  # of examples, in the index's order
     toxic: np.ndarray
+    held: np.ndarray  # of each example: how many words
+    at: np.ndarray
+    all: np.ndarray
+    common: np.ndarray  # the commonest features
     examples: np.ndarray
     weights: np.ndarray
     cells: np.ndarray  # [features + 1]: where a feature's cells begin
@@ -72,60 +89,78 @@ class Index:
     sizes: np.ndarray
     block: int  # examples of a block
 
-    def __post_init__(self):
-        turn = np.argsort(self.blocks, kind="stable")
-        ends = np.cumsum(self.sizes[turn], dtype=np.int64)
-        # Where a cell's postings begin, and their largest weight.
-        self.begin, self.largest = np.empty(len(turn), np.int64), np.empty(len(turn), np.float32)
-        self.begin[turn] = ends - self.sizes[turn]
-        self.largest[turn] = np.maximum.reduceat(self.weights, self.begin[turn])
-
     def __getstate__(self) -> dict:
         """What can be made again in a task is not sent there."""
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.__post_init__()
+    @cached_property
+    def begin(self) -> np.ndarray:
+        """Where a cell's postings begin."""
+        turn = np.argsort(self.blocks, kind="stable")
+        out = np.empty(len(turn), np.int64)
+        out[turn] = np.cumsum(self.sizes[turn], dtype=np.int64) - self.sizes[turn]
+        return out
 
-    @property
+    @cached_property
+    def largest(self) -> np.ndarray:
+        turn = np.argsort(self.blocks, kind="stable")
+        out = np.empty(len(turn), np.float32)
+        if len(turn):
+            out[turn] = np.maximum.reduceat(self.weights, self.begin[turn])
+        return out
+
+    @cached_property
     def starts(self) -> np.ndarray:
-        """[blocks, features + 1]: where a feature's postings in a block begin. Not for large indexes."""
-        counts = np.zeros((-(-len(self.ids) // self.block), len(self.cells) - 1), np.int64)
-        counts[self.blocks, np.repeat(np.arange(len(self.cells) - 1), np.diff(self.cells))] = self.sizes
-        ends = np.cumsum(counts).reshape(counts.shape)
-        return np.hstack([ends[:, :1] - counts[:, :1], ends])
+        return np.cumsum(self.held, dtype=np.int64) - self.held
 
     @cached_property
     def columns(self) -> np.ndarray:
         """[features]: the row of a feature in ``dense``, -1 for those that have none."""
-        held = np.diff(np.r_[0, np.cumsum(self.sizes, dtype=np.int64)][self.cells])
-        out = np.full(len(held), -1)
-        common = np.argsort(-held, kind="stable")[:COMMONEST]
-        out[common] = np.arange(len(common))
+        out = np.full(len(self.cells) - 1, -1, np.int32)
+        out[self.common] = np.arange(len(self.common))
         return out
 
     @cached_property
     def dense(self) -> np.ndarray:
         """[common features, examples]: weights. Made in each task."""
-        common = np.flatnonzero(self.columns >= 0)
-        out = np.zeros((len(common), len(self.ids)))
-        for feature in common.tolist():
-            cells = slice(self.cells[feature], self.cells[feature + 1])
-            spots = _runs(self.begin[cells], self.sizes[cells])
-            out[self.columns[feature], self.examples[spots]] = self.weights[spots]
+        column = self.columns[self.at]
+        spots = np.flatnonzero(column >= 0)
+        out = np.zeros((len(self.common), len(self.ids)), np.float32)
+        out[column[spots], np.searchsorted(self.starts, spots, "right") - 1] = self.all[spots]
         return out
 
     @cached_property
-    def block_of(self) -> np.ndarray:
-        return np.arange(len(self.ids)) // self.block
+    def lengths(self) -> np.ndarray:
+        """[examples]: of what the words that are neither common nor telling make of an example."""
+        bounded = ((self.columns >= 0) | (np.diff(self.cells) > 0))[self.at]
+        squares = np.where(bounded, 0.0, np.square(self.all, dtype=np.float64))
+        return np.sqrt(np.add.reduceat(squares, self.starts)).astype(np.float32)
+
+    @cached_property
+    def longest(self) -> np.ndarray:
+        return np.maximum.reduceat(self.lengths, self.edges)
+
+    @cached_property
+    def edges(self) -> np.ndarray:
+        return np.arange(0, len(self.ids), self.block)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """[features]: a text's weights while it is compared, else zeros."""
+        return np.zeros(len(self.cells) - 1)
+
+    def _products(self, examples: np.ndarray) -> np.ndarray:
+        """The products of ``row`` with these examples."""
+        sizes = self.held[examples]
+        spots = _runs(self.starts[examples], sizes)
+        return np.add.reduceat(self.all[spots] * self.row[self.at[spots]], np.cumsum(sizes) - sizes)
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each of the vectors."""
+        """``nearest`` of each of the vectors; one product for the common words of a slice."""
         found = []
         for at in range(0, len(vectors), SLICE):
             part = vectors[at : at + SLICE]
-            common = np.zeros((len(part), len(self.dense)))
+            common = np.zeros((len(part), len(self.common)), np.float32)
             for row, (features, weights) in zip(common, part, strict=True):
                 column = self.columns[features]
                 row[column[column >= 0]] = weights[column >= 0]
@@ -133,49 +168,90 @@ class Index:
         return found
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest; equal ones in the index's order. ``common`` has
-        for each example what the common features add, which so bounds what a block can reach."""
+        """Places and cosines of the ``k`` nearest; equal ones in the index's order. ``common`` has for
+        each example what the common words add."""
         column = self.columns[at]
         if common is None:
-            common = weights[column >= 0] @ self.dense[column[column >= 0]]
-        at, weights = at[column < 0], weights[column < 0]
-        sizes = self.cells[at + 1] - self.cells[at]
-        cells, by = _runs(self.cells[at], sizes), np.repeat(weights, sizes)
+            common = weights[column >= 0].astype(np.float32) @ self.dense[column[column >= 0]]
+        sums = common.astype(np.float64)
+        count = self.cells[at + 1] - self.cells[at]
+        telling = count > 0
+        length = float(np.sqrt(np.square(weights[~telling & (column < 0)]).sum()))
+        cells = _runs(self.cells[at[telling]], count[telling])
+        by = np.repeat(weights[telling], count[telling])
         blocks = self.blocks[cells]
-        bounds = np.maximum.reduceat(common, np.arange(0, len(common), self.block))
-        bounds += np.bincount(blocks, self.largest[cells] * by, len(bounds))
+        reach = sums + length * self.lengths
+        bounds = np.maximum.reduceat(reach, self.edges) + np.bincount(blocks, self.largest[cells] * by, len(self.edges))
         order = np.argsort(-bounds, kind="stable")
         falling = -bounds[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         best_at, best = np.empty(0, np.int64), np.empty(0)
         opened, step = 0, STEP
+        self.row[at] = weights
         while True:
-            # Bounds and cosines are summed in different orders.
-            least = best[-1] - 1e-9 if len(best) == k else 0.0
+            least = best[-1] - SLACK if len(best) == k else 0.0
             upto = min(opened + step, int(np.searchsorted(falling, -least, "right" if least > 0 else "left")))
             if upto <= opened:
                 break
-            now = (rank >= opened) & (rank < upto)
-            mine = now[blocks]
+            mine = (rank[blocks] >= opened) & (rank[blocks] < upto)
             here = cells[mine]
             spots = _runs(self.begin[here], self.sizes[here])
-            sums = np.bincount(self.examples[spots], self.weights[spots] * np.repeat(by[mine], self.sizes[here]), len(common))
-            sums = (sums + common) * now[self.block_of]
-            if not least and len(sums) > k:
-                least = np.partition(sums, -k)[-k] - 1e-9
-            hit = np.flatnonzero((sums > 0) & (sums >= least))
-            # Sums of equal numbers in another order are equal.
-            best_at, best = np.r_[best_at, hit], np.r_[best, np.round(sums[hit], 12)]
-            nearest = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[nearest], best[nearest]
+            more = np.bincount(self.examples[spots], self.weights[spots] * np.repeat(by[mine], self.sizes[here]), len(self.ids))
+            # Those of the blocks now opened.
+            within = _runs(self.edges[order[opened:upto]], np.minimum(self.block, len(self.ids) - self.edges[order[opened:upto]]))
+            more = more[within]
+            some = sums[within] + more
+            # The bounded words add nothing below 0, and as many runs as k have a sum of this or more.
+            runs = np.maximum.reduceat(some, np.arange(0, len(some), RUN))
+            if len(runs) > k:
+                least = max(least, np.partition(runs, -k)[-k] - SLACK)
+            upper = reach[within] + more
+            hit = np.flatnonzero((upper > 0) & (upper >= least))
+            hit = hit[np.argsort(-upper[hit], kind="stable")]
+            upper, hit = upper[hit], within[hit]
+            done, many = 0, FIRST
+            while done < len(hit):
+                if len(best) == k:
+                    least = max(least, best[-1] - SLACK)
+                part = hit[done : min(done + many, int(np.searchsorted(-upper, -least, "right")))]
+                if not len(part):
+                    break
+                found = self._products(part)
+                # Sums of equal numbers in another order are equal.
+                best_at, best = np.r_[best_at, part[found > 0]], np.r_[best, np.round(found[found > 0], 12)]
+                nearest = np.lexsort((best_at, -best))[:k]
+                best_at, best = best_at[nearest], best[nearest]
+                done, many = done + len(part), many * STEP
             opened, step = upto, step * STEP
+        self.row[at] = 0.0
         return best_at, np.minimum(best, 1.0)
 
 
+@dataclass
+class Vocabulary:
+    """All words of the examples, numbered in their order."""
+
+    words: pa.Array
+
+    def __getstate__(self) -> dict:
+        return {"words": self.words}
+
+    @cached_property
+    def numbers(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+    def numbered(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The features of a text, rising, and how often it has each."""
+        numbers = self.numbers
+        known = sorted((numbers[w], n) for w, n in _counts(text).items() if w in numbers)
+        pairs = np.array(known, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+
 @dataclass
 class Model:
-    numbers: dict[bytes, int]
+    vocabulary: Vocabulary
     factors: np.ndarray  # idf * relevance
     index: Index | None
     base: float
@@ -193,24 +269,19 @@ class Model:
         return float((weights @ self.index.toxic[places] + prior * self.base) / (weights.sum() + prior))
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
-        """The score and the nearest examples of each text."""
-        out: list[tuple[float, list]] = [(self.none, [])] * len(texts)
+        """The score and the nearest examples of each text; equal texts are compared once."""
+        found: dict[str | None, tuple[float, list]] = dict.fromkeys(texts, (self.none, []))
         if self.index is None:
-            return out
-        numbered = [_numbered(t, self.numbers) for t in texts]
-        some = [i for i, (at, _) in enumerate(numbered) if len(at)]
-        vectors = [(at, self.vector(at, tf)) for at, tf in (numbered[i] for i in some)]
-        for i, (places, cosines) in zip(some, self.index.nearest_of(vectors, NEAREST), strict=True):
+            return [found[text] for text in texts]
+        vectors = {}
+        for text in found:
+            at, tf = self.vocabulary.numbered(text)
+            if len(at):
+                vectors[text] = at, self.vector(at, tf)
+        for text, (places, cosines) in zip(vectors, self.index.nearest_of(list(vectors.values()), NEAREST), strict=True):
             value = float(np.interp(self.vote(places, cosines), self.votes, self.rates))
-            out[i] = value, list(zip(self.index.ids[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True))
-        return out
-
-
-def _numbered(text: str | None, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of a text, rising, and how often it has each."""
-    known = sorted((numbers[w], n) for w, n in _counts(text).items() if w in numbers)
-    pairs = np.array(known, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+            found[text] = value, list(zip(self.index.ids[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True))
+        return [found[text] for text in texts]
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,24 +299,24 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(one, "toxicity-examples")
 
 
-def _vocabulary(sample: DataFrame) -> dict[bytes, int]:
-    """All words of the examples, numbered."""
-
+def _vocabulary(sample: DataFrame) -> Vocabulary:
     def start():
         def work(text):
             return {"word": list({w for t in text for w in _counts(t)})}
 
         return work
 
-    words = map_slices(sample.select("text"), start, "word binary").distinct().toArrow()["word"].to_pylist()
-    return {w: i for i, w in enumerate(sorted(words))}
+    words = map_slices(sample.select("text"), start, "word binary").distinct().toArrow()["word"].combine_chunks()
+    return Vocabulary(words.take(pc.sort_indices(words)))
 
 
-def _document_frequencies(docs: DataFrame, numbers: dict[bytes, int]) -> np.ndarray:
+def _document_frequencies(docs: DataFrame, shared) -> np.ndarray:
     """Over all documents: how many there are, then how many have each feature."""
-    size = len(numbers) + 1
+    size = len(shared.value.words) + 1
 
     def start():
+        numbers = shared.value.numbers
+
         def work(text):
             counts = np.zeros(size, np.int64)
             counts[0] = len(text)
@@ -280,40 +351,48 @@ class Examples:
         mine = keep[self.of]
         return Examples(self.ids[keep], self.toxic[keep], self.part[keep], number[self.of[mine]], self.at[mine], self.tf[mine])
 
-    def model(self, numbers: dict[bytes, int], idf: np.ndarray, base: float) -> Model:
-        """The model of these examples, without a calibration."""
-        held, toxic = (np.bincount(self.at, w, len(numbers)) for w in (None, self.toxic[self.of]))
-        rate = (toxic + PRIOR * base) / (held + PRIOR)
-        factors = idf * (np.maximum(np.log(rate / base), 0.0) + COMMON)
-        empty = np.array([0.0, 1.0])
-        return Model(numbers, factors, _index(self, factors, held), base, empty, np.array([base, base]), base)
+    def indexed(self, idf: np.ndarray, base: float, block: int) -> tuple[np.ndarray, Index]:
+        """The features' factors and the index of these examples."""
+        held = np.bincount(self.at, minlength=len(idf))
+        toxic = np.bincount(self.at[self.toxic[self.of] > 0], minlength=len(idf))
+        relevance = np.maximum(np.log((toxic + PRIOR * base) / (held + PRIOR) / base), 0.0)
+        factors = idf * (relevance + COMMON)
+        return factors, _index(self, factors, relevance >= TELLING, held, block)
 
 
-def _index(rows: Examples, factors: np.ndarray, held: np.ndarray) -> Index:
+def _index(rows: Examples, factors: np.ndarray, telling: np.ndarray, held: np.ndarray, block: int) -> Index:
     weights = (1 + np.log(rows.tf)) * factors[rows.at]
     weights /= np.sqrt(np.bincount(rows.of, np.square(weights)))[rows.of]
-    starts = np.searchsorted(rows.of, np.arange(len(rows.ids)))
+    number = np.arange(len(rows.ids))
+    starts = np.searchsorted(rows.of, number)
 
     def first_by(value: np.ndarray) -> np.ndarray:
-        return rows.at[np.lexsort((rows.at, -value, rows.of))[starts]]
+        largest = np.flatnonzero(value == np.maximum.reduceat(value, starts)[rows.of])
+        return rows.at[largest[np.searchsorted(rows.of[largest], number)]]
 
     # Examples that share their most common word, mostly those of a language, and of these the ones
     # that share their weightiest, stand together, so that bounds are tight.
     order = np.lexsort((rows.ids, rows.toxic, first_by(weights), first_by(held[rows.at])))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    sizes = np.bincount(rows.of, minlength=len(order))[order]
+    spots = _runs(starts[order], sizes)
+    words, weights = rows.at[spots].astype(np.int32), weights[spots].astype(np.float32)
+    common = np.sort(np.argsort(-held, kind="stable")[: min(COMMONEST, int((held > 0).sum()))])
+    indexed = telling.copy()
+    indexed[common] = False
     # By block, feature and example.
     size = len(factors)
-    places = place[rows.of]
-    by = np.argsort((places // BLOCK * size + rows.at) * BLOCK + places % BLOCK)
-    examples, features, weights = places[by].astype(np.uint16), rows.at[by], weights[by].astype(np.float32)
-    keys = examples // BLOCK * np.int64(size) + features
-    begin = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
-    sizes = np.diff(np.r_[begin, len(keys)])
+    mine = np.flatnonzero(indexed[words])
+    places, features = np.repeat(number, sizes)[mine], words[mine]
+    by = np.argsort((places // block * size + features) * block + places % block)
+    places, features = places[by], features[by]
+    keys = places // block * size + features
+    begin = np.flatnonzero(np.r_[True, np.diff(keys) != 0][: len(keys)])
+    counts = np.diff(np.r_[begin, len(keys)])
     blocks, features = keys[begin] // size, keys[begin] % size
     turn = np.argsort(features, kind="stable")
     cells = np.searchsorted(features[turn], np.arange(size + 1)).astype(np.int32)
-    return Index(rows.ids[order], rows.toxic[order], examples, weights, cells, blocks[turn].astype(np.uint16), sizes[turn].astype(np.uint16), BLOCK)
+    cut = cells, blocks[turn].astype(np.uint16), counts[turn].astype(np.uint16)
+    return Index(rows.ids[order], rows.toxic[order], sizes.astype(np.int32), words, weights, common, places.astype(np.uint16), weights[mine[by]], *cut, block)
 
 
 def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -328,8 +407,9 @@ def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in pools])
 
 
-def _examples(vectors: DataFrame) -> Examples:
-    rows = vectors.where(F.size("at") > 0).toArrow().sort_by("doc_id").combine_chunks()  # at most EXAMPLES rows
+def _examples(rows: pa.Table) -> Examples:
+    """At most EXAMPLES rows."""
+    rows = rows.sort_by("doc_id").combine_chunks()
     lists = {c: rows[c].combine_chunks() for c in ("at", "tf")}
     sizes = lists["at"].value_lengths().to_numpy()
     ids, toxic, part = (rows[c].to_numpy() for c in ("doc_id", "toxic", "part"))
@@ -341,11 +421,22 @@ def _votes(examples: Examples, part: int, model: Model) -> list[float]:
     mine = np.flatnonzero(examples.part == part)
     begin, end = np.searchsorted(examples.of, mine), np.searchsorted(examples.of, mine, "right")
     spans = [slice(*x) for x in zip(begin, end, strict=True)]
-    votes: list[float] = []
-    for at in range(0, len(spans), SLICE):
-        vectors = [(examples.at[x], model.vector(examples.at[x], examples.tf[x])) for x in spans[at : at + SLICE]]
-        votes += [model.vote(*found) for found in model.index.nearest_of(vectors, NEAREST)]
-    return votes
+    vectors = [(examples.at[x].astype(np.int64), model.vector(examples.at[x], examples.tf[x])) for x in spans]
+    return [model.vote(*found) for found in model.index.nearest_of(vectors, NEAREST)]
+
+
+def _learn(rows: pa.Table, judged: int, vocabulary: Vocabulary, idf: np.ndarray, base: float, block: int) -> tuple[list[float], list[float], bytes]:
+    """The votes on a part of the examples by the others, with the labels; for part ``PARTS``, which
+    has none, the factors and the index of all."""
+    examples = _examples(rows)
+    others = examples.without(judged)
+    if not len(others.ids):
+        return [], [], b""
+    factors, index = others.indexed(idf, base, block)
+    if judged == PARTS:
+        return [], [], pickle.dumps((factors, index))
+    model = Model(vocabulary, factors, index, base, np.empty(0), np.empty(0), base)
+    return _votes(examples, judged, model), examples.toxic[examples.part == judged].tolist(), b""
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -354,35 +445,47 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
     n, positives = counts["n"], counts["n1"]
     base = positives / n if n else 0.0
-    empty = Model({}, np.empty(0), None, base, np.array([0.0, 1.0]), np.array([base, base]), base)
+    nothing = Vocabulary(pa.array([], pa.binary()))
+    empty = Model(nothing, np.empty(0), None, base, np.array([0.0, 1.0]), np.array([base, base]), base)
     if positives in (0, n):
         return empty
-    numbers = _vocabulary(sample)
-    if not numbers:
+    vocabulary = _vocabulary(sample)
+    if not len(vocabulary.words):
         return empty
-    df = _document_frequencies(docs, numbers)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    df = _document_frequencies(docs, shared)
     idf = np.log((df[0] + 1) / (df[1:] + 1)) + 1
 
     def start():
         def work(doc_id, text, toxic, part):
-            at, tf = zip(*(_numbered(t, numbers) for t in text), strict=True)
+            at, tf = zip(*map(shared.value.numbered, text), strict=True)
             return {"doc_id": doc_id, "toxic": toxic, "part": part, "at": [a.tolist() for a in at], "tf": [x.tolist() for x in tf]}
 
         return work
 
     dealt = sample.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
-    examples = _examples(map_slices(dealt, start, "doc_id long, toxic int, part int, at array<int>, tf array<int>"))
-    if not len(examples.ids):
+    numbered = map_slices(dealt, start, "doc_id long, toxic int, part int, at array<int>, tf array<int>")
+    vectors = written(numbered.where(F.size("at") > 0), "toxicity-vectors")
+    some = vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
+    if not some["n"]:
         return empty
-    model = examples.model(numbers, idf, base)
-    model.none = (positives - examples.toxic.sum() + base) / (n - len(examples.ids) + 1)
-    votes, truth = [np.empty(0)], [np.empty(0)]
-    for part in range(PARTS):
-        others = examples.without(part)
-        if len(others.ids):
-            votes.append(_votes(examples, part, others.model(numbers, idf, base)))
-            truth.append(examples.toxic[examples.part == part])
-    votes, truth = np.concatenate(votes), np.concatenate(truth)
+
+    block = BLOCK
+
+    def learn(rows: pa.Table) -> pa.Table:
+        judged = rows["judged"][0].as_py()
+        votes, truth, packed = _learn(rows, judged, shared.value, idf, base, block)
+        kind = pa.list_(pa.float64())
+        return pa.table({"judged": pa.array([judged], pa.int32()), "votes": pa.array([votes], kind), "truth": pa.array([truth], kind), "packed": [packed]})
+
+    # Each index from the same rows, of which there are at most EXAMPLES, in a task of its own.
+    times = vectors.withColumn("judged", F.explode(F.array(*[F.lit(i) for i in range(PARTS + 1)])))
+    learnt = times.groupBy("judged").applyInArrow(learn, "judged int, votes array<double>, truth array<double>, packed binary")
+    rows = {r["judged"]: r for r in written(learnt, "toxicity-index").toLocalIterator()}
+    factors, index = pickle.loads(rows[PARTS]["packed"])
+    model = Model(vocabulary, factors, index, base, empty.votes, empty.rates, base)
+    model.none = (positives - some["n1"] + base) / (n - some["n"] + 1)
+    votes, truth = (np.array([x for i in range(PARTS) if i in rows for x in rows[i][c]], float) for c in ("votes", "truth"))
     if not len(votes):
         return model
     bins = np.minimum((votes * BINS).astype(int), BINS - 1)
@@ -406,9 +509,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     other columns are not read.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def start():
         def work(doc_id, text):
-            scores, evidence = zip(*model.scores(text), strict=True)
+            scores, evidence = zip(*shared.value.scores(text), strict=True)
             named = [[{"doc_id": i, "similarity": s, "toxic": int(y)} for i, s, y in e] for e in evidence]
             return {"doc_id": doc_id, "score": list(scores), "evidence": named}
 
@@ -428,11 +533,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def is_toxic(model: Model, threshold: float = THRESHOLD):
     """The verdict as a column function of the text, for filters that keep a row's other columns."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             slices = (part[at : at + SLICE].tolist() for at in range(0, len(part), SLICE))
-            yield pd.Series([score >= threshold for texts in slices for score, _ in model.scores(texts)], dtype=bool)
+            yield pd.Series([score >= threshold for texts in slices for score, _ in shared.value.scores(texts)], dtype=bool)
 
     return verdicts

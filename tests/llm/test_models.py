@@ -22,15 +22,22 @@ def toxic_model(spark):
     return toxicity.fit(docs, spark.read.parquet(f"{MEDIUM}/labels.parquet"))
 
 
+def _dense(index, size):
+    """The examples' vectors; those of telling words stand in the blocks too."""
+    dense = np.zeros((len(index.ids), size))
+    dense[np.repeat(np.arange(len(index.ids)), index.held), index.at] = index.all
+    for feature in range(size):
+        for cell in range(index.cells[feature], index.cells[feature + 1]):
+            span = slice(index.begin[cell], index.begin[cell] + index.sizes[cell])
+            assert (index.examples[span] // index.block == index.blocks[cell]).all()
+            assert (dense[index.examples[span], feature] == index.weights[span]).all()
+    return dense
+
+
 def test_nearest_is_exact(toxic_model):
     """Block by block, the search finds what comparing with every example finds."""
-    index, size = toxic_model.index, len(toxic_model.numbers)
-    dense = np.zeros((len(index.ids), size))
-    for block, row in enumerate(index.starts):
-        for feature in range(size):
-            span = slice(row[feature], row[feature + 1])
-            assert (index.examples[span] // toxicity.BLOCK == block).all()
-            dense[index.examples[span], feature] = index.weights[span]
+    index, size = toxic_model.index, len(toxic_model.vocabulary.words)
+    dense = _dense(index, size)
     assert np.allclose(np.square(dense).sum(axis=1), 1)
     random = np.random.default_rng(1)
     for _ in range(200):
@@ -41,6 +48,7 @@ def test_nearest_is_exact(toxic_model):
         order = [i for i in np.lexsort((np.arange(len(cosines)), -np.round(cosines, 9))) if cosines[i] > 0][: toxicity.NEAREST]
         _, found = index.nearest(at, weights, toxicity.NEAREST)
         assert np.allclose(found, cosines[order])
+        assert not index.row.any()
 
 
 def test_toxicity_on_held_out_labels(spark, toxic_model):
@@ -222,22 +230,24 @@ def test_toxicity_of_few_labels(spark):
 def test_toxicity_indexes_whole_texts(spark, monkeypatch):
     """Every word of every example is a feature, and blocks in any order find the nearest."""
     monkeypatch.setattr(toxicity, "BLOCK", 8)
-    monkeypatch.setattr(toxicity, "COMMONEST", 50)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
     labels = {i for i, _ in table("labels", columns="doc_id, toxic") if zlib.crc32(str(i).encode()) % 4 != 2}
     texts = {t for i, t in table("documents", columns="doc_id, text") if i in labels}
     plain = [{w for w in re.split(rb"[^0-9a-z\x80-\xff]+", t.encode().lower()) if w} for t in texts]
-    assert set(model.numbers) == set().union(*plain)
+    numbers = model.vocabulary.numbers
+    assert set(numbers) == set().union(*plain)
     index = model.index
-    assert len(index.ids) == sum(map(bool, plain)) and len(index.weights) == sum(map(len, plain))
-    dense = np.zeros((len(index.ids), len(model.numbers)))
-    for row in index.starts:
-        for feature in range(len(model.numbers)):
-            span = slice(row[feature], row[feature + 1])
-            dense[index.examples[span], feature] = index.weights[span]
-    some = [toxicity._numbered(t, model.numbers) for _, t in table("documents", columns="doc_id, text")]
+    assert index.block == 8 and len(index.longest) > 5
+    assert len(index.ids) == sum(map(bool, plain)) and len(index.all) == sum(map(len, plain))
+    dense = _dense(index, len(numbers))
+    some = [model.vocabulary.numbered(t) for _, t in table("documents", columns="doc_id, text")]
     vectors = [(at, model.vector(at, tf)) for at, tf in some if len(at)]
+    multiplied = []
+    monkeypatch.setattr(index, "_products", lambda part, plain=index._products: multiplied.append(len(part)) or plain(part))
     for (at, weights), (places, cosines) in zip(vectors, index.nearest_of(vectors, 5), strict=True):
         want = dense[:, at] @ weights
         assert np.allclose(cosines, np.sort(want)[::-1][:5][: len(cosines)]) and np.allclose(want[places], cosines)
+        assert len(cosines) == min(5, (want > 0).sum())
+    assert sum(multiplied) < len(vectors) * len(index.ids)
+    assert model.scores([None, "", "a b"] * 2)[:3] == model.scores([None, "", "a b"])
