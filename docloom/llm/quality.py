@@ -1,8 +1,9 @@
 """Quality rules by robust multivariate outliers.
 
 A document's statistics become a vector of four transformed shares. For each language and source a
-minimum-covariance-determinant estimate gives centre and scatter of the bulk of the documents, and
-a document whose Mahalanobis distance from them is beyond a chi-square quantile is rejected.
+minimum-covariance-determinant estimate gives centre and scatter of the bulk of the documents; the
+fewer a source has, the more its estimate is drawn towards its language's, and that towards all
+documents'. A document whose Mahalanobis distance is beyond a chi-square quantile is rejected.
 
 The estimate concentrates: all documents are measured against the current centre and scatter, the
 nearest three quarters give the next ones. No group is gathered for it: each step sums counts and
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,14 +34,16 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50.0, 200.0, 10.0
 PRIOR_LENGTH = 5.0
 # What a share varies by at least in sound texts, as a standard deviation: log of the mean word
-# length, symbols per character, repeated lines, repeated words. Added to every scatter.
-FLOOR = (0.05, 0.01, 0.1, 0.05)
+# length, symbols per character, repeated lines, repeated words. Added to every scatter, as most
+# texts repeat nothing: without it, one repeated line would be infinitely far off. Each share alone
+# can still be far enough off: half the lines, or 15 % of the words.
+FLOOR = (0.05, 0.01, 0.1, 0.03)
 DIM = len(FLOOR)
 SHARE = 0.75
 STEPS = 4
-# Documents that a group needs for an estimate of its own; others take that of their language, and
-# languages with fewer that of all documents.
-GROUP = 200
+# A group of n documents has weight n / (n + BLEND) in its estimate, that of its language the rest,
+# which is blended with that of all documents in the same way.
+BLEND = 100.0
 QUANTILE = 0.9999
 # Bins to each doubling of the squared distance.
 BINS = 16
@@ -213,16 +217,41 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     return current.groupBy(*_GROUP).agg(best)
 
 
-def _chosen(estimates: DataFrame) -> DataFrame:
-    """For each language and source the estimate of the first level with enough documents."""
+def _moments_of(part: pd.DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, centres and second moments of the estimates of a level."""
+    centre = part[[f"{c}_{level}" for c in _CENTRE]].to_numpy(float)
+    inverse = np.empty((len(part), DIM, DIM))
+    for v, (i, j) in zip(_INVERSE, _PAIRS, strict=True):
+        inverse[:, i, j] = inverse[:, j, i] = part[f"{v}_{level}"].to_numpy(float)
+    return part[f"_n_{level}"].to_numpy(float), centre, np.linalg.inv(inverse) + centre[:, :, None] * centre[:, None, :]
 
-    def of(level: int, name: str, *keys: str) -> DataFrame:
-        return estimates.where(F.col("_level") == level).select(*keys, F.col("_e").alias(name))
 
-    own, lang, every = of(0, "_own", "_lang", "_source"), of(1, "_of_lang", "_lang"), of(2, "_of_all")
-    found = own.join(lang, "_lang").crossJoin(F.broadcast(every))  # one row
-    picked = F.when(F.col("_own._n") >= GROUP, F.col("_own")).when(F.col("_of_lang._n") >= GROUP, F.col("_of_lang"))
-    return found.select("_lang", "_source", picked.otherwise(F.col("_of_all")).alias("_e")).select("_lang", "_source", "_e.*")
+def _blend(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        _, centre, second = _moments_of(part, 2)
+        for level in (1, 0):
+            n, own_centre, own_second = _moments_of(part, level)
+            weight = n / (n + BLEND)
+            centre = weight[:, None] * own_centre + (1 - weight)[:, None] * centre
+            second = weight[:, None, None] * own_second + (1 - weight)[:, None, None] * second
+        inverse = np.linalg.inv(second - centre[:, :, None] * centre[:, None, :])
+        out = part[["_lang", "_source"]].copy()
+        out[_CENTRE] = centre
+        out[_INVERSE] = np.stack([inverse[:, i, j] for i, j in _PAIRS], axis=1)
+        yield out
+
+
+def blended(estimates: DataFrame) -> DataFrame:
+    """For each language and source the estimates of source, language and all in one: the centre and
+    scatter of their mixture, the more the source's own the more documents it has."""
+
+    def of(level: int, *keys: str) -> DataFrame:
+        named = [F.col(f"_e.{c}").alias(f"{c}_{level}") for c in ("_n", *_CENTRE, *_INVERSE)]
+        return estimates.where(F.col("_level") == level).select(*keys, *named)
+
+    found = of(0, "_lang", "_source").join(of(1, "_lang"), "_lang").crossJoin(F.broadcast(of(2)))  # one row
+    schema = "_lang string, _source string, " + ", ".join(f"{c} double" for c in [*_CENTRE, *_INVERSE])
+    return found.mapInPandas(_blend, schema)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -247,7 +276,7 @@ def judge(docs: DataFrame) -> DataFrame:
     )
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt")
     vectors = stats.where("not base_failed").select("_lang", "_source", salt, *[v.alias(x) for v, x in zip(_vector(), _X, strict=True)])
-    estimates = written(_chosen(robust_estimates(vectors)), "outlier-groups")
+    estimates = written(blended(robust_estimates(vectors)), "outlier-groups")
     placed = stats.withColumns(dict(zip(_X, _vector(), strict=True))).join(estimates, ["_lang", "_source"], "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return placed.withColumn("distance", distance).select(

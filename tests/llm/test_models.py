@@ -129,6 +129,48 @@ def test_quality_keeps_sound_documents(spark):
     assert sum(not k for q, k in judged if q == 0) > 0.7 * sum(q == 0 for q, _ in judged)
 
 
+def _estimate(level, n, centre, scale, lang="", source=""):
+    inverse = np.linalg.inv(np.diag([scale] * quality.DIM))
+    return (level, lang, source, (float(n), *([centre] * quality.DIM), *(float(inverse[i, j]) for i, j in quality._PAIRS)))
+
+
+def test_estimates_move_smoothly_with_the_size_of_a_group(spark):
+    """No size of a source, 200 least, switches from one estimate to another."""
+    numbers = [1, 50, 100, 198, 199, 200, 201, 400, 100_000]
+    rows = [_estimate(2, 10**9, 0.0, 1.0), _estimate(1, 10**9, 1.0, 2.0, "en")]
+    rows += [_estimate(0, n, 3.0, 4.0, "en", f"{n}") for n in numbers]
+    fields = ", ".join(f"{c}: double" for c in ["_n", *quality._CENTRE, *quality._INVERSE])
+    frame = spark.createDataFrame(rows, f"_level int, _lang string, _source string, _e struct<{fields}>")
+    got = {int(r["_source"]): r for r in quality.blended(frame).collect()}
+    assert sorted(got) == numbers
+    for n, r in got.items():
+        weight = n / (n + quality.BLEND)
+        centre = 3 * weight + 1 - weight
+        want = np.full((4, 4), 9 * weight + 1 - weight - centre * centre) + np.eye(4) * (4 * weight + 2 * (1 - weight))
+        assert np.allclose([r[c] for c in quality._CENTRE], centre, atol=1e-6)
+        assert np.allclose([r[v] for v in quality._INVERSE], [np.linalg.inv(want)[i, j] for i, j in quality._PAIRS], atol=1e-6)
+    assert abs(got[199]["_c0"] - got[200]["_c0"]) < 0.01
+
+
+def test_quality_rejects_repetition_alone(spark):
+    """Texts that differ from sound ones in repeated words only, or in repeated lines only."""
+    def words(i, n):
+        return [f"w{(i * 7919 + j * 104729) % 99991}" for j in range(n)]
+
+    rows = [(i, " ".join(words(i, 400))) for i in range(300)]
+    twice = words(1000, 38)
+    rows.append((1000, " ".join(words(1000, 324) + twice)))  # 76 of 362 words: 20.99 % fail by rule
+    rows.append((1001, " ".join(words(1001, 330) + words(1001, 35))))  # 70 of 365: 19.2 %, by distance
+    rows.append((1002, "\n".join("yes\nyes\n" + " ".join(words(2000 + k, 10)) for k in range(30))))  # 59 of 90 lines
+    rows.append((1003, " ".join(words(1003, 390) + words(1003, 8))))  # 16 of 398: sound
+    docs = spark.createDataFrame([(i, t, "en", "web") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert got[1000].base_failed and not got[1001].base_failed
+    assert got[1002].n_dup_lines == 59 and got[1002].n_repeat_words == 0
+    assert not got[1001].kept and not got[1002].kept and got[1003].kept
+    assert all(got[i].kept for i in range(300))
+
+
 def test_small_groups_take_the_estimate_of_their_language(spark):
     rows = [(i, " ".join(f"w{(i * 31 + j * j) % 911}" for j in range(40)), "en" if i % 2 else "de", f"s{i % 40}") for i in range(300)]
     rows.append((1000, "#$% " * 3 + " ".join(f"q{j}###$$$" for j in range(60)), "en", "s-new"))
