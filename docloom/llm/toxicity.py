@@ -22,14 +22,15 @@ from __future__ import annotations
 
 import pickle
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, fields, replace
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ EXAMPLES = 16_384
 PRIOR, COMMON = 8.0, 0.02
 # So many of the commonest words are compared for a whole slice of texts by one product; of the others
 # those of this relevance or more stand in the index. No result depends on them.
-COMMONEST, TELLING = 1024, 0.05
+COMMONEST, TELLING = 512, 0.05
 NEAREST = 9
 BLOCK = 2048
 THRESHOLD = 0.3
@@ -66,8 +67,10 @@ def _counts(text: str | None) -> Counter:
 
 def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of the runs that begin there, one after the other."""
-    ends = np.cumsum(sizes, dtype=np.int64)
-    return np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    ends = np.cumsum(sizes, dtype=begin.dtype)
+    out = np.repeat(begin - ends + sizes.astype(begin.dtype), sizes)
+    out += np.arange(len(out), dtype=begin.dtype)
+    return out
 
 
 @dataclass
@@ -123,18 +126,23 @@ class Index:
     @cached_property
     def dense(self) -> np.ndarray:
         """[common features, examples]: weights. Made in each task."""
-        column = self.columns[self.at]
-        spots = np.flatnonzero(column >= 0)
         out = np.zeros((len(self.common), len(self.ids)), np.float32)
-        out[column[spots], np.searchsorted(self.starts, spots, "right") - 1] = self.all[spots]
+        for first in self.edges.tolist():
+            last = min(first + self.block, len(self.ids)) - 1
+            span = slice(self.starts[first], self.starts[last] + self.held[last])
+            column = self.columns[self.at[span]]
+            of = np.repeat(np.arange(first, last + 1, dtype=np.int32), self.held[first : last + 1])
+            out[column[column >= 0], of[column >= 0]] = self.all[span][column >= 0]
         return out
 
     @cached_property
     def lengths(self) -> np.ndarray:
         """[examples]: of what the words that are neither common nor telling make of an example."""
         bounded = ((self.columns >= 0) | (np.diff(self.cells) > 0))[self.at]
-        squares = np.where(bounded, 0.0, np.square(self.all, dtype=np.float64))
-        return np.sqrt(np.add.reduceat(squares, self.starts)).astype(np.float32)
+        squares = np.square(self.all)
+        squares[bounded] = 0
+        # Rounded up.
+        return np.sqrt(np.add.reduceat(squares, self.starts)) * np.float32(1 + 1e-4)
 
     @cached_property
     def longest(self) -> np.ndarray:
@@ -251,13 +259,25 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary  # sent to tasks by itself, once
     factors: np.ndarray  # idf * relevance
     index: Index | None
     base: float
     votes: np.ndarray  # of the calibration's points, rising
     rates: np.ndarray
     none: float  # rate of examples without any word
+    words: Broadcast | None = None  # of the vocabulary
+
+    def shared(self, spark: SparkSession) -> Callable[[], Model]:
+        """What gives the model in a task."""
+        words = self.words or spark.sparkContext.broadcast(self.vocabulary)
+        rest = spark.sparkContext.broadcast(replace(self, vocabulary=None, words=None))
+
+        def model() -> Model:
+            rest.value.vocabulary = words.value
+            return rest.value
+
+        return model
 
     def vector(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(tf)) * self.factors[at]
@@ -347,6 +367,8 @@ class Examples:
 
     def without(self, part: int) -> Examples:
         keep = self.part != part
+        if keep.all():
+            return self
         number = np.cumsum(keep, dtype=np.int32) - 1
         mine = keep[self.of]
         return Examples(self.ids[keep], self.toxic[keep], self.part[keep], number[self.of[mine]], self.at[mine], self.tf[mine])
@@ -361,10 +383,10 @@ class Examples:
 
 
 def _index(rows: Examples, factors: np.ndarray, telling: np.ndarray, held: np.ndarray, block: int) -> Index:
-    weights = (1 + np.log(rows.tf)) * factors[rows.at]
-    weights /= np.sqrt(np.bincount(rows.of, np.square(weights)))[rows.of]
-    number = np.arange(len(rows.ids))
-    starts = np.searchsorted(rows.of, number)
+    weights = (1 + np.log(rows.tf, dtype=np.float32)) * factors.astype(np.float32)[rows.at]
+    number = np.arange(len(rows.ids), dtype=np.int32)
+    starts = np.searchsorted(rows.of, number).astype(np.int32)
+    weights /= np.sqrt(np.bincount(rows.of, np.square(weights))).astype(np.float32)[rows.of]
 
     def first_by(value: np.ndarray) -> np.ndarray:
         largest = np.flatnonzero(value == np.maximum.reduceat(value, starts)[rows.of])
@@ -372,17 +394,18 @@ def _index(rows: Examples, factors: np.ndarray, telling: np.ndarray, held: np.nd
 
     # Examples that share their most common word, mostly those of a language, and of these the ones
     # that share their weightiest, stand together, so that bounds are tight.
-    order = np.lexsort((rows.ids, rows.toxic, first_by(weights), first_by(held[rows.at])))
+    order = np.lexsort((rows.ids, rows.toxic, first_by(weights), first_by(held.astype(np.int32)[rows.at])))
     sizes = np.bincount(rows.of, minlength=len(order))[order]
     spots = _runs(starts[order], sizes)
-    words, weights = rows.at[spots].astype(np.int32), weights[spots].astype(np.float32)
+    words, weights = rows.at[spots].astype(np.int32), weights[spots]
+    del spots
     common = np.sort(np.argsort(-held, kind="stable")[: min(COMMONEST, int((held > 0).sum()))])
     indexed = telling.copy()
     indexed[common] = False
     # By block, feature and example.
     size = len(factors)
     mine = np.flatnonzero(indexed[words])
-    places, features = np.repeat(number, sizes)[mine], words[mine]
+    places, features = np.repeat(number, sizes)[mine].astype(np.int64), words[mine]
     by = np.argsort((places // block * size + features) * block + places % block)
     places, features = places[by], features[by]
     keys = places // block * size + features
@@ -409,22 +432,12 @@ def _rising(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _examples(rows: pa.Table) -> Examples:
     """At most EXAMPLES rows."""
-    rows = rows.sort_by("doc_id").combine_chunks()
     lists = {c: rows[c].combine_chunks() for c in ("at", "tf")}
     sizes = lists["at"].value_lengths().to_numpy()
     ids, toxic, part = (rows[c].to_numpy() for c in ("doc_id", "toxic", "part"))
     return Examples(ids, toxic.astype(float), part, np.repeat(np.arange(len(ids), dtype=np.int32), sizes), *(lists[c].flatten().to_numpy() for c in ("at", "tf")))
 
 
-def _votes(examples: Examples, part: int, model: Model) -> list[float]:
-    """The votes of a model of the others on the examples of a part."""
-    mine = np.flatnonzero(examples.part == part)
-    begin, end = np.searchsorted(examples.of, mine), np.searchsorted(examples.of, mine, "right")
-    spans = [slice(*x) for x in zip(begin, end, strict=True)]
-    vectors = [(examples.at[x].astype(np.int64), model.vector(examples.at[x], examples.tf[x])) for x in spans]
-    return [model.vote(*found) for found in model.index.nearest_of(vectors, NEAREST)]
-
-
 def _learn(rows: pa.Table, judged: int, vocabulary: Vocabulary, idf: np.ndarray, base: float, block: int) -> tuple[list[float], list[float], bytes]:
     """The votes on a part of the examples by the others, with the labels; for part ``PARTS``, which
     has none, the factors and the index of all."""
@@ -432,11 +445,17 @@ def _learn(rows: pa.Table, judged: int, vocabulary: Vocabulary, idf: np.ndarray,
     others = examples.without(judged)
     if not len(others.ids):
         return [], [], b""
+    mine = np.flatnonzero(examples.part == judged)
+    truth = examples.toxic[mine].tolist()
+    begin, end = np.searchsorted(examples.of, mine), np.searchsorted(examples.of, mine, "right")
+    texts = [(examples.at[i:j].astype(np.int64), examples.tf[i:j].copy()) for i, j in zip(begin, end, strict=True)]
+    del examples
     factors, index = others.indexed(idf, base, block)
     if judged == PARTS:
         return [], [], pickle.dumps((factors, index))
     model = Model(vocabulary, factors, index, base, np.empty(0), np.empty(0), base)
-    return _votes(examples, judged, model), examples.toxic[examples.part == judged].tolist(), b""
+    found = index.nearest_of([(at, model.vector(at, tf)) for at, tf in texts], NEAREST)
+    return [model.vote(*x) for x in found], truth, b""
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -483,7 +502,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     learnt = times.groupBy("judged").applyInArrow(learn, "judged int, votes array<double>, truth array<double>, packed binary")
     rows = {r["judged"]: r for r in written(learnt, "toxicity-index").toLocalIterator()}
     factors, index = pickle.loads(rows[PARTS]["packed"])
-    model = Model(vocabulary, factors, index, base, empty.votes, empty.rates, base)
+    model = Model(vocabulary, factors, index, base, empty.votes, empty.rates, base, shared)
     model.none = (positives - some["n1"] + base) / (n - some["n"] + 1)
     votes, truth = (np.array([x for i in range(PARTS) if i in rows for x in rows[i][c]], float) for c in ("votes", "truth"))
     if not len(votes):
@@ -509,11 +528,13 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     other columns are not read.
     """
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     def start():
+        model = shared()
+
         def work(doc_id, text):
-            scores, evidence = zip(*shared.value.scores(text), strict=True)
+            scores, evidence = zip(*model.scores(text), strict=True)
             named = [[{"doc_id": i, "similarity": s, "toxic": int(y)} for i, s, y in e] for e in evidence]
             return {"doc_id": doc_id, "score": list(scores), "evidence": named}
 
@@ -533,12 +554,12 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def is_toxic(model: Model, threshold: float = THRESHOLD):
     """The verdict as a column function of the text, for filters that keep a row's other columns."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    shared = model.shared(SparkSession.active())
 
     @F.pandas_udf("boolean")
     def verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             slices = (part[at : at + SLICE].tolist() for at in range(0, len(part), SLICE))
-            yield pd.Series([score >= threshold for texts in slices for score, _ in shared.value.scores(texts)], dtype=bool)
+            yield pd.Series([score >= threshold for texts in slices for score, _ in shared().scores(texts)], dtype=bool)
 
     return verdicts
