@@ -57,6 +57,8 @@ PARTS = 4
 STEP, FIRST = 4, 16
 # Examples whose largest sum stands for all in the first bound.
 RUN = 16
+# Bytes of a piece in which an index travels.
+CHUNK = 1 << 20
 # Sums in another order and in single precision differ by less.
 SLACK = 1e-5
 
@@ -490,21 +492,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return empty
 
     block = BLOCK
+    kinds = {"judged": pa.int32(), "place": pa.int32(), "vote": pa.float64(), "truth": pa.float64(), "packed": pa.binary()}
+    out = pa.schema(kinds)
 
     def learn(rows: pa.Table) -> pa.Table:
         judged = rows["judged"][0].as_py()
         votes, truth, packed = _learn(rows, judged, shared.value, idf, base, block)
-        kind = pa.list_(pa.float64())
-        return pa.table({"judged": pa.array([judged], pa.int32()), "votes": pa.array([votes], kind), "truth": pa.array([truth], kind), "packed": [packed]})
+        # No row of either side is large.
+        chunks = [packed[i : i + CHUNK] for i in range(0, len(packed), CHUNK)]
+        count = len(votes) + len(chunks)
+        columns = [[judged] * count, list(range(count)), votes + [None] * len(chunks), truth + [None] * len(chunks)]
+        table = pa.table([*columns, [None] * len(votes) + chunks], schema=out)
+        del rows, packed, chunks
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(table.to_batches(max_chunksize=1 if judged == PARTS else 4096), out)
 
     # Each index from the same rows, of which there are at most EXAMPLES, in a task of its own.
     times = vectors.withColumn("judged", F.explode(F.array(*[F.lit(i) for i in range(PARTS + 1)])))
-    learnt = times.groupBy("judged").applyInArrow(learn, "judged int, votes array<double>, truth array<double>, packed binary")
-    rows = {r["judged"]: r for r in written(learnt, "toxicity-index").toLocalIterator()}
-    factors, index = pickle.loads(rows[PARTS]["packed"])
+    learnt = written(times.groupBy("judged").applyInArrow(learn, "judged int, place int, vote double, truth double, packed binary"), "toxicity-index")
+    chunks = {r["place"]: r["packed"] for r in learnt.where(F.col("judged") == PARTS).select("place", "packed").toLocalIterator()}
+    factors, index = pickle.loads(b"".join(chunks[i] for i in range(len(chunks))))
+    del chunks
     model = Model(vocabulary, factors, index, base, empty.votes, empty.rates, base, shared)
     model.none = (positives - some["n1"] + base) / (n - some["n"] + 1)
-    votes, truth = (np.array([x for i in range(PARTS) if i in rows for x in rows[i][c]], float) for c in ("votes", "truth"))
+    judged = learnt.where(F.col("judged") != PARTS).select("vote", "truth").toArrow()  # a row per example
+    votes, truth = (judged[c].to_numpy() for c in ("vote", "truth"))
     if not len(votes):
         return model
     bins = np.minimum((votes * BINS).astype(int), BINS - 1)
