@@ -20,11 +20,12 @@ the tasks: all bounded by the texts of at most ``EXAMPLES`` examples, not by the
 
 from __future__ import annotations
 
+import ctypes
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -54,17 +55,26 @@ BINS = 20
 # Parts of the examples that are judged by the others for the calibration.
 PARTS = 4
 # Blocks opened and examples multiplied at first; each further step takes that many times more.
-STEP, FIRST = 4, 16
-# Examples whose largest sum stands for all in the first bound.
-RUN = 16
+STEP, FIRST = 4, 12
+# Texts whose products with the common words a task holds at once.
+PRODUCT = 64
 # Bytes of a piece in which an index travels.
 CHUNK = 1 << 20
 # Sums in another order and in single precision differ by less.
 SLACK = 1e-5
 
 
-def _counts(text: str | None) -> Counter:
-    return Counter(text.encode().translate(WORD_BYTES).split()) if text else Counter()
+def _words(text: str | None) -> list[bytes]:
+    return text.encode().translate(WORD_BYTES).split() if text else []
+
+
+def release() -> None:
+    """Give what a task no longer needs back to the machine: its worker lives on, beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # an allocator without it
+        pass
 
 
 def _runs(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -114,6 +124,11 @@ class Index:
             out[turn] = np.maximum.reduceat(self.weights, self.begin[turn])
         return out
 
+    @cached_property
+    def within(self) -> np.ndarray:
+        """Of each posting: the example's place in its block."""
+        return self.examples % np.uint16(self.block)
+
     @cached_property
     def starts(self) -> np.ndarray:
         return np.cumsum(self.held, dtype=np.int64) - self.held
@@ -127,14 +142,16 @@ class Index:
 
     @cached_property
     def dense(self) -> np.ndarray:
-        """[common features, examples]: weights. Made in each task."""
-        out = np.zeros((len(self.common), len(self.ids)), np.float32)
+        """[common features and one row more, examples]: weights, then ``lengths``. The last block is
+        filled up with examples without words. Made in each task."""
+        out = np.zeros((len(self.common) + 1, len(self.edges) * self.block), np.float32)
         for first in self.edges.tolist():
             last = min(first + self.block, len(self.ids)) - 1
             span = slice(self.starts[first], self.starts[last] + self.held[last])
             column = self.columns[self.at[span]]
             of = np.repeat(np.arange(first, last + 1, dtype=np.int32), self.held[first : last + 1])
             out[column[column >= 0], of[column >= 0]] = self.all[span][column >= 0]
+        out[-1, : len(self.ids)] = self.lengths
         return out
 
     @cached_property
@@ -146,10 +163,6 @@ class Index:
         # Rounded up.
         return np.sqrt(np.add.reduceat(squares, self.starts)) * np.float32(1 + 1e-4)
 
-    @cached_property
-    def longest(self) -> np.ndarray:
-        return np.maximum.reduceat(self.lengths, self.edges)
-
     @cached_property
     def edges(self) -> np.ndarray:
         return np.arange(0, len(self.ids), self.block)
@@ -157,45 +170,49 @@ class Index:
     @cached_property
     def row(self) -> np.ndarray:
         """[features]: a text's weights while it is compared, else zeros."""
-        return np.zeros(len(self.cells) - 1)
+        return np.zeros(len(self.cells) - 1, np.float32)
 
     def _products(self, examples: np.ndarray) -> np.ndarray:
         """The products of ``row`` with these examples."""
         sizes = self.held[examples]
         spots = _runs(self.starts[examples], sizes)
-        return np.add.reduceat(self.all[spots] * self.row[self.at[spots]], np.cumsum(sizes) - sizes)
+        terms = self.all.take(spots, mode="clip") * self.row.take(self.at.take(spots, mode="clip"), mode="clip")
+        return np.add.reduceat(terms, np.cumsum(sizes) - sizes, dtype=np.float64)
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each of the vectors; one product for the common words of a slice."""
+        """Places and cosines of the ``k`` nearest of each vector; equal ones in the index's order. One
+        product for a slice gives what the common words add to each example, and the most that words
+        which are neither common nor telling can add."""
         found = []
-        for at in range(0, len(vectors), SLICE):
-            part = vectors[at : at + SLICE]
-            common = np.zeros((len(part), len(self.common)), np.float32)
+        for at in range(0, len(vectors), PRODUCT):
+            part = vectors[at : at + PRODUCT]
+            common = np.zeros((len(part), len(self.common) + 1), np.float32)
             for row, (features, weights) in zip(common, part, strict=True):
                 column = self.columns[features]
                 row[column[column >= 0]] = weights[column >= 0]
-            found += [self.nearest(*v, k, sums) for v, sums in zip(part, common @ self.dense, strict=True)]
+                others = weights[(column < 0) & (self.cells[features + 1] == self.cells[features])]
+                row[-1] = np.sqrt(others @ others)
+            reach = (common @ self.dense).reshape(len(part), len(self.edges), self.block)
+            found += [self._nearest(*v, k, *x) for v, *x in zip(part, reach, reach.max(axis=2), strict=True)]
         return found
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the ``k`` nearest; equal ones in the index's order. ``common`` has for
-        each example what the common words add."""
-        column = self.columns[at]
-        if common is None:
-            common = weights[column >= 0].astype(np.float32) @ self.dense[column[column >= 0]]
-        sums = common.astype(np.float64)
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_of([(at, weights)], k)[0]
+
+    def _nearest(self, at: np.ndarray, weights: np.ndarray, k: int, reach: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the bound of each example, [blocks, examples of one], and of each block without telling words."""
         count = self.cells[at + 1] - self.cells[at]
-        telling = count > 0
-        length = float(np.sqrt(np.square(weights[~telling & (column < 0)]).sum()))
-        cells = _runs(self.cells[at[telling]], count[telling])
-        by = np.repeat(weights[telling], count[telling])
+        telling = np.flatnonzero(count)
+        count = count[telling]
+        cells = _runs(self.cells[at[telling]], count)
+        by = np.repeat(weights[telling], count)
         blocks = self.blocks[cells]
-        reach = sums + length * self.lengths
-        bounds = np.maximum.reduceat(reach, self.edges) + np.bincount(blocks, self.largest[cells] * by, len(self.edges))
+        bounds = bounds + np.bincount(blocks, self.largest[cells] * by, len(bounds))
         order = np.argsort(-bounds, kind="stable")
         falling = -bounds[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
+        rank = rank[blocks]
         best_at, best = np.empty(0, np.int64), np.empty(0)
         opened, step = 0, STEP
         self.row[at] = weights
@@ -204,35 +221,30 @@ class Index:
             upto = min(opened + step, int(np.searchsorted(falling, -least, "right" if least > 0 else "left")))
             if upto <= opened:
                 break
-            mine = (rank[blocks] >= opened) & (rank[blocks] < upto)
-            here = cells[mine]
-            spots = _runs(self.begin[here], self.sizes[here])
-            more = np.bincount(self.examples[spots], self.weights[spots] * np.repeat(by[mine], self.sizes[here]), len(self.ids))
-            # Those of the blocks now opened.
-            within = _runs(self.edges[order[opened:upto]], np.minimum(self.block, len(self.ids) - self.edges[order[opened:upto]]))
-            more = more[within]
-            some = sums[within] + more
-            # The bounded words add nothing below 0, and as many runs as k have a sum of this or more.
-            runs = np.maximum.reduceat(some, np.arange(0, len(some), RUN))
-            if len(runs) > k:
-                least = max(least, np.partition(runs, -k)[-k] - SLACK)
-            upper = reach[within] + more
-            hit = np.flatnonzero((upper > 0) & (upper >= least))
-            hit = hit[np.argsort(-upper[hit], kind="stable")]
-            upper, hit = upper[hit], within[hit]
-            done, many = 0, FIRST
-            while done < len(hit):
-                if len(best) == k:
-                    least = max(least, best[-1] - SLACK)
-                part = hit[done : min(done + many, int(np.searchsorted(-upper, -least, "right")))]
-                if not len(part):
-                    break
-                found = self._products(part)
+            mine = np.flatnonzero((rank >= opened) & (rank < upto))
+            here, sizes = cells[mine], self.sizes[cells[mine]]
+            spots = _runs(self.begin[here], sizes)
+            places = self.within[spots] + np.repeat((rank[mine] - opened) * self.block, sizes)
+            upper = np.bincount(places, self.weights[spots] * np.repeat(by[mine], sizes), (upto - opened) * self.block)
+            upper = upper + reach[order[opened:upto]].ravel()
+            # First the highest bounds, then all that reach what was found.
+            first = np.argpartition(upper, -FIRST)[-FIRST:] if len(upper) > FIRST else np.arange(len(upper))
+            first, turn = first[upper[first] >= least], 0
+            while len(first):
+                part = first[upper[first] > 0]
+                places = order[opened + part // self.block] * self.block + part % self.block
+                found = self._products(places) if len(part) else np.empty(0)
                 # Sums of equal numbers in another order are equal.
-                best_at, best = np.r_[best_at, part[found > 0]], np.r_[best, np.round(found[found > 0], 12)]
+                best_at, best = np.r_[best_at, places[found > 0]], np.r_[best, np.round(found[found > 0], 12)]
                 nearest = np.lexsort((best_at, -best))[:k]
                 best_at, best = best_at[nearest], best[nearest]
-                done, many = done + len(part), many * STEP
+                upper[first] = 0.0
+                least = best[-1] - SLACK if len(best) == k else 0.0
+                turn += 1
+                first = np.flatnonzero(upper >= least if least > 0 else upper > 0)
+                many = FIRST * STEP**turn
+                if len(first) > many:
+                    first = first[np.argpartition(upper[first], -many)[-many:]]
             opened, step = upto, step * STEP
         self.row[at] = 0.0
         return best_at, np.minimum(best, 1.0)
@@ -253,10 +265,9 @@ class Vocabulary:
 
     def numbered(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The features of a text, rising, and how often it has each."""
-        numbers = self.numbers
-        known = sorted((numbers[w], n) for w, n in _counts(text).items() if w in numbers)
-        pairs = np.array(known, np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        words = _words(text)
+        numbers = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
+        return np.unique(numbers[numbers >= 0], return_counts=True)
 
 
 @dataclass
@@ -324,7 +335,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _vocabulary(sample: DataFrame) -> Vocabulary:
     def start():
         def work(text):
-            return {"word": list({w for t in text for w in _counts(t)})}
+            return {"word": list({w for t in text for w in _words(t)})}
 
         return work
 
@@ -337,13 +348,13 @@ def _document_frequencies(docs: DataFrame, shared) -> np.ndarray:
     size = len(shared.value.words) + 1
 
     def start():
-        numbers = shared.value.numbers
+        numbered = shared.value.numbered
 
         def work(text):
             counts = np.zeros(size, np.int64)
             counts[0] = len(text)
             for t in text:
-                counts[[numbers[w] + 1 for w in _counts(t) if w in numbers]] += 1
+                counts[numbered(t)[0] + 1] += 1
             at = np.flatnonzero(counts)
             return {"feature": at.tolist(), "n": counts[at].tolist()}
 
@@ -504,7 +515,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         columns = [[judged] * count, list(range(count)), votes + [None] * len(chunks), truth + [None] * len(chunks)]
         table = pa.table([*columns, [None] * len(votes) + chunks], schema=out)
         del rows, packed, chunks
-        pa.default_memory_pool().release_unused()
+        release()
         return pa.Table.from_batches(table.to_batches(max_chunksize=1 if judged == PARTS else 4096), out)
 
     # Each index from the same rows, of which there are at most EXAMPLES, in a task of its own.

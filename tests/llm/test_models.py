@@ -280,7 +280,7 @@ def test_toxicity_indexes_whole_texts(spark, monkeypatch):
     numbers = model.vocabulary.numbers
     assert set(numbers) == set().union(*plain)
     index = model.index
-    assert index.block == 8 and len(index.longest) > 5
+    assert index.block == 8 and len(index.edges) > 5
     assert len(index.ids) == sum(map(bool, plain)) and len(index.all) == sum(map(len, plain))
     dense = _dense(index, len(numbers))
     some = [model.vocabulary.numbered(t) for _, t in table("documents", columns="doc_id, text")]
