@@ -1,16 +1,18 @@
 """Language-model scores by a probabilistic suffix tree.
 
 The model's root is the distribution of single tokens, smoothed by half a count. Its states are
-contexts of one to three tokens. A context is a candidate if it makes up a share of at least
-``CONTEXT`` of the training tokens, so there are at most 1 / CONTEXT of each length; it is retained
-if what follows it diverges from what follows its suffix by more than chance explains, together
-with all its suffixes. Next tokens whose share after the context reaches ``PAIR`` of the training
-tokens have a discounted probability of their own, at most 1 / PAIR of them for each length; the
-discount and the mass of the others go to the suffix. The longest retained suffix of what stands
-before a token is its state.
-
-So the tree has a proven bound and goes to every task. The counts of all distinct tokens do not:
-tokens with a share of at least ``SYMBOL`` go along, the rest, of which a text has few, meet their
+contexts of one to three tokens. A context is a candidate if it occurs at least ``CONTEXT`` times the
+root of the number of training tokens; it is retained if what follows it diverges from what follows
+its suffix by more than chance explains, together with all its suffixes. Next tokens that follow the
+context ``PAIR`` times that root or more have a discounted probability of their own; the discount and
+the mass of the others go to the suffix. The longest retained suffix of what stands before a token is
+its state.
+
+So the tree grows with the corpus, though slower: by the root of N tokens there are at most
+sqrt(N) / CONTEXT contexts of a length and sqrt(N) / PAIR pairs, and every count that decides rises
+with the noise of the counts. The tree goes to every task: for 10^11 tokens at most 8 million contexts
+of a length, and in natural text far fewer. The counts of all distinct tokens do not: tokens that
+occur ``SYMBOL`` times that root or more go along, the rest, of which a text has few, meet their
 counts by a join on hashes. As rare tokens have no probability of their own in any state, a state
 only multiplies their root probability, and the two parts of a text's score add up.
 
@@ -37,7 +39,8 @@ from docloom.sources.tables import written
 
 FOLDS, HELD_OUT = 5, 1
 LENGTH = 3
-CONTEXT, PAIR, SYMBOL = 1e-4, 2e-6, 5e-7
+# Least counts of contexts, of pairs and of symbols, as multiples of the root of all tokens.
+CONTEXT, PAIR, SYMBOL = 0.04, 0.002, 0.003
 DISCOUNT = 0.75
 # Standard deviations of chi-square by which a divergence must exceed its mean.
 DEVIATIONS = 5.0
@@ -248,14 +251,14 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
         F.coalesce(F.sum("train"), F.lit(0)).alias("train"),
         F.count(F.when(F.col("train") > 0, 1)).alias("distinct"),
     ).first()
-    rare = SYMBOL * sums["all"]
-    # At most 1 / SYMBOL rows.
+    rare = SYMBOL * sums["all"] ** 0.5
+    # At most the root of the number of tokens / SYMBOL rows.
     frequent = counts.where(F.col("n") >= rare).select("key", "train").toArrow()
     hashes, trained = frequent["key"].to_numpy(), frequent["train"].to_numpy()
     order = np.argsort(hashes)
     tree = Tree(hashes[order], trained[order], sums["train"], rare, sums["distinct"])
     coded = written(_coded(docs, tree.hashes), "coded-texts")
-    floor = max(2.0, CONTEXT * tree.total)
+    floor = max(2.0, CONTEXT * tree.total**0.5)
     end = _find(tree.hashes, np.array([_END]))[0]
     oldest = np.flatnonzero((tree.counts >= floor) & (np.arange(tree.size) != end))
     diverging: list[np.ndarray] = []
@@ -267,12 +270,12 @@ def learn(docs: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
             break
         tree.levels.append(level)
         pairs = written(_followers(coded, tree, depth), "followers")
-        # At most 1 / CONTEXT contexts, and as many pairs as 1 / PAIR.
+        # Contexts and pairs are bounded by the root of the number of tokens.
         whole = pairs.groupBy(F.floor(F.col("key") / F.lit(tree.size + 1)).alias("context")).agg(F.sum("n").alias("n")).toArrow()
         totals = np.zeros(len(level.keys))
         totals[whole["context"].to_numpy()] = whole["n"].to_numpy()
         totals = np.maximum(totals, 1)
-        least = max(2.0, PAIR * tree.total)
+        least = max(2.0, PAIR * tree.total**0.5)
         kept = pairs.where((F.col("n") >= least) & (F.pmod("key", F.lit(tree.size + 1)) != tree.size)).select("key", "n").toArrow()
         key, n = kept["key"].to_numpy(), kept["n"].to_numpy().astype(float)
         order = np.argsort(key)

@@ -190,7 +190,7 @@ def _corpus():
 
 def test_suffix_tree(spark, monkeypatch):
     """Contexts that matter are retained, and every state's distribution sums to one."""
-    monkeypatch.setattr(suffixtree, "SYMBOL", 1e-3)
+    monkeypatch.setattr(suffixtree, "SYMBOL", 0.115)
     texts = _corpus()
     docs = spark.createDataFrame([(1, t, False) for t in texts], "doc_id long, text string, held_out boolean").repartition(3)
     tree, counts, _ = suffixtree.learn(docs)
@@ -228,6 +228,16 @@ def test_suffix_tree_counts_followers(spark):
     assert got == dict(want)
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    sizes = []
+    for folder in (SMALL, MEDIUM):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", F.lit(False).alias("held_out"))
+        tree, _, _ = suffixtree.learn(docs)
+        sizes.append(([len(level.keys) for level in tree.levels], len(tree.levels[0].pairs)))
+    (small, few), (medium, many) = sizes
+    assert medium[0] > 1.5 * small[0] and sum(medium) > 1.5 * sum(small) and many > 2 * few
+
+
 def test_scores(spark):
     rows = {r.doc_id: r for r in queries.op10_suffix_tree(spark, SMALL).collect()}
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in table("documents", columns="doc_id, text")}
